@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     simhash_dedup,
+    suffix_dedup,
 )
 
 
@@ -12,6 +13,7 @@ def queries() -> dict:
 
     return {
         "op8_simhash_near_dedup": simhash_dedup.op8,
+        "op10_suffix_dedup": suffix_dedup.op10,
         "pipeline": corpus_pipeline.run,
     }
 
