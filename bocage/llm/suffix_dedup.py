@@ -13,8 +13,11 @@ p + h).  Positions whose rank is unique drop out, the others go on until LENGTH
   one anchor; about one row per 35 bytes is shuffled by rank and sorted.  Runs with the same
   rank and the same bytes (a pair of 64-bit names) are equal windows throughout: all but the
   earliest run are repeats.  The earliest goes on if another run has its rank.
-* Round LENGTH in Spark.  Windows of the runs that go on get the rank pair (rank 64 of p,
-  rank 64 of p + 36), are shuffled by it and sorted; all but the earliest are repeats.
+* Round LENGTH in Spark.  A run that goes on is cut into two halves, keyed by the rank of the
+  66 or 67 bytes that all windows of the half have in common, and sent with its bytes; the
+  rows are sorted by that rank.  Their windows get the rank pair (rank 64 of p, rank 64 of
+  p + 36); all but the earliest are repeats.  Windows of a core that fills more than a batch
+  are shuffled once more by their rank pair.
 
 The result is exact but for collisions of 128-bit names.  A key that is common in a task is
 merged there before the shuffle, so that a hot string sends a few rows per task.  What is
@@ -72,14 +75,14 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Runs of the windows of some texts: index of the text, first window, number of windows,
-    rank of the anchor, name of the bytes of the whole run."""
+    """Runs of the windows of some texts: index of the text, first window << 16 | offset of its
+    anchor << 8 | number of windows, rank of the anchor, name of the bytes of the whole run."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n = len(joined) - LENGTH + 1
     if n <= 0:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
     short, long = _ranks(joined)
     at = np.arange(len(short), dtype=np.uint64)
     lowest = _window_min((short & ~np.uint64(0xFFFFFFFF)) | at, LENGTH - GRAM + 1)
@@ -87,7 +90,7 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.arange(len(texts)), sizes)
     p = np.flatnonzero(doc[:n] == doc[LENGTH - 1 :])  # windows inside one text
     if not len(p):
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
     a = anchor[p]
     # the same anchor in another text is the same position, so texts split runs too
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (doc[p[1:]] != doc[p[:-1]])])
@@ -95,25 +98,28 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     p0, p1 = p[first], p[last]
     name = [_pair(long[q], long[q + LENGTH - 64]) for q in (p0, p1)]
     whole = _pair(_pair(*name), (p1 - p0).astype(np.uint64))
-    return doc[p0], p0 - starts[doc[p0]], p1 - p0 + 1, short[a[first]].view(np.int64), whole.view(np.int64)
+    at = p0 - starts[doc[p0]] << 16 | a[first] - p0 << 8 | p1 - p0 + 1
+    return doc[p0], at, short[a[first]].view(np.int64), whole.view(np.int64)
 
 
-RUNS = "kind byte, rank long, whole long, doc long, print long, start int, n int"
-MARKED = "kind byte, doc long, print long, start int, n int"
-WINDOWS = "kind byte, a long, b long, doc long, print long, start int"
+RUNS = "rank long, whole long, doc long, print long, at long"  # at: << 8 | kind
+MARKED = "kind byte, doc long, print long, at long"
+PARTS = "core long, doc long, print long, start int, bytes binary"
+WINDOWS = "kind byte, a long, b long, doc long, print long, at long"
 NO_ID = -(1 << 63)
+SPLIT = (LENGTH - GRAM) // 2  # windows that begin further before their anchor are the second part
 
 
-def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A key that sends rows which need not meet any other evenly to all tasks."""
-    return _pair(doc.view(np.uint64), start.astype(np.uint64)).view(np.int64)
+    return _pair(doc.view(np.uint64), at.astype(np.uint64)).view(np.int64)
 
 
-def _merge_runs(rank, whole, doc, print_, start, n) -> pd.DataFrame:
+def _merge_runs(rank, whole, doc, print_, at) -> pd.DataFrame:
     """Runs of one task: equal ones keep the earliest, the others are repeats; for a rank
     with different runs a token is sent, and its runs go on."""
-    order = np.lexsort((start, print_, doc, whole, rank))
-    rank, whole, doc, print_, start, n = (x[order] for x in (rank, whole, doc, print_, start, n))
+    order = np.lexsort((at, print_, doc, whole, rank))
+    rank, whole, doc, print_, at = (x[order] for x in (rank, whole, doc, print_, at))
     new_rank = np.r_[True, rank[1:] != rank[:-1]]
     new_run = new_rank | np.r_[True, whole[1:] != whole[:-1]]
     group = np.cumsum(new_rank) - 1
@@ -123,13 +129,11 @@ def _merge_runs(rank, whole, doc, print_, start, n) -> pd.DataFrame:
     none = np.zeros(len(tokens), dtype=np.int64)
     return pd.DataFrame(
         {
-            "kind": np.r_[kind, none + TOKEN].astype(np.int8),
-            "rank": np.r_[np.where(kind == SINGLE, rank, _spread(doc, start)), tokens],
+            "rank": np.r_[np.where(kind == SINGLE, rank, _spread(doc, at)), tokens],
             "whole": np.r_[np.where(kind == SINGLE, whole, 0), none],
             "doc": np.r_[doc, none],
             "print": np.r_[print_, none],
-            "start": np.r_[start, none].astype(np.int32),
-            "n": np.r_[n, none].astype(np.int32),
+            "at": np.r_[at << 8 | kind, none + TOKEN],
         }
     )
 
@@ -139,10 +143,10 @@ def _find_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = 0
     for frame in frames:
         doc, print_ = frame["doc"].to_numpy(), frame["print"].to_numpy()
-        for at, texts in _chunks(frame["raw"]):
-            which, start, n, rank, whole = runs_of(texts)
-            which = which + at
-            held.append((rank, whole, doc[which], print_[which], start, n))
+        for first, texts in _chunks(frame["raw"]):
+            which, at, rank, whole = runs_of(texts)
+            which = which + first
+            held.append((rank, whole, doc[which], print_[which], at))
             rows += len(rank)
         if rows >= HELD_RUNS:
             yield _merge_runs(*(np.concatenate(x) for x in zip(*held)))
@@ -165,14 +169,16 @@ def _chunks(texts) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _compare_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by rank, whole, kind, document, start -> repeats and runs that go on.
+    """Rows sorted by rank, whole, document, start -> repeats and runs that go on.
 
     The ranks at the edges of a batch go on without a look at the next batch: the next round
     decides exactly, so that only costs a few rows.
     """
     for frame in frames:
-        asks = frame["kind"].isin((SINGLE, TOKEN))
-        yield frame.loc[~asks, ["kind", "doc", "print", "start", "n"]]
+        kind = frame["at"].to_numpy() & 255
+        frame = frame.assign(kind=kind.astype(np.int8), at=frame["at"].to_numpy() >> 8)
+        asks = (kind == SINGLE) | (kind == TOKEN)
+        yield frame.loc[~asks, ["kind", "doc", "print", "at"]]
         own = frame[asks]
         if not len(own):
             continue
@@ -184,40 +190,80 @@ def _compare_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         several[[0, -1]] = True
         out = np.where(new_run, np.where(several[group], GOES_ON, TOKEN), REPEAT)
         own = own.assign(kind=out.astype(np.int8))
-        yield own.loc[(kind == SINGLE) & (out != TOKEN), ["kind", "doc", "print", "start", "n"]]
+        yield own.loc[(kind == SINGLE) & (out != TOKEN), ["kind", "doc", "print", "at"]]
 
 
-def _name_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents with their runs that go on -> windows with the pair of their ranks; of equal
-    windows of a batch only the earliest asks further."""
+def _cut_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents with their runs that go on -> halves of runs with their bytes, keyed by the
+    rank of the bytes all windows of the half have in common (66 or 67 around the anchor)."""
     for frame in frames:
-        parts = []
-        for at, texts in _chunks(frame["raw"]):
+        for first, texts in _chunks(frame["raw"]):
             sizes = np.array([len(t) for t in texts])
             base = np.cumsum(sizes) - sizes
-            _, long = _ranks(np.frombuffer(b"".join(texts), dtype=np.uint8))
-            runs = frame["runs"].iloc[at : at + len(texts)]
-            packed = [np.asarray(r, dtype=np.int64) for r in runs]
-            which = np.repeat(np.arange(len(texts)), [len(r) for r in packed])
-            packed = np.concatenate(packed)
-            start, n = packed >> 8, packed & 255
-            of = np.repeat(np.arange(len(start)), n)
-            p = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            q = base[which[of]] + p
-            parts.append((long[q], long[q + LENGTH - 64], which[of] + at, p))
-        a, b, row, p = (np.concatenate(x) for x in zip(*parts))
-        doc, print_ = frame["doc"].to_numpy()[row], frame["print"].to_numpy()[row]
-        order = np.lexsort((p, print_, doc, b, a))
-        a, b, doc, print_, p = (x[order] for x in (a, b, doc, print_, p))
-        repeat = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
+            joined = b"".join(texts)
+            _, long = _ranks(np.frombuffer(joined, dtype=np.uint8))
+            runs = [np.asarray(r, dtype=np.int64) for r in frame["runs"].iloc[first : first + len(texts)]]
+            which = np.repeat(np.arange(len(texts)), [len(r) for r in runs])
+            at = np.concatenate(runs)
+            p, offset, n = base[which] + (at >> 16), at >> 8 & 255, at & 255
+            anchor = p + offset
+            middle = anchor - SPLIT  # first window of the near half
+            for far in (True, False):
+                start = p if far else np.maximum(p, middle)
+                end = np.minimum(p + n, middle) if far else p + n
+                some = np.flatnonzero(start < end)
+                a = anchor[some] - (SPLIT + 1 if far else 0)
+                core = _pair(long[a], long[a + (LENGTH - 64 - SPLIT + 1 if far else LENGTH - 64 - SPLIT)])
+                rows = which[some] + first
+                yield pd.DataFrame(
+                    {
+                        "core": (core ^ np.uint64(far)).view(np.int64),
+                        "doc": frame["doc"].to_numpy()[rows],
+                        "print": frame["print"].to_numpy()[rows],
+                        "start": (start[some] - base[which[some]]).astype(np.int32),
+                        "bytes": [joined[i : j + LENGTH - 1] for i, j in zip(start[some], end[some])],
+                    }
+                )
+
+
+def _compare_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Halves sorted by core, document, start -> repeated windows, and the first windows of
+    cores at the edges of a batch, which are compared once more."""
+    for frame in frames:
+        sizes = frame["bytes"].map(len).to_numpy()
+        if not len(sizes):
+            continue
+        base = np.cumsum(sizes) - sizes
+        _, long = _ranks(np.frombuffer(b"".join(frame["bytes"]), dtype=np.uint8))
+        n = sizes - LENGTH + 1
+        row = np.repeat(np.arange(len(sizes)), n)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        q = base[row] + inside
+        a, b = long[q], long[q + LENGTH - 64]
+        order = np.argsort(_pair(a, b), kind="stable")  # rows come in order of document and start
+        repeat = np.zeros(len(row), dtype=bool)
+        repeat[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+        core = frame["core"].to_numpy()
+        edge = (core == core[0]) | (core == core[-1])
+        start = frame["start"].to_numpy()[row] + inside
+        # neighbouring repeats of one half travel as one run
+        t = np.flatnonzero(repeat)
+        new = np.r_[True, (np.diff(t) != 1) | (row[t[1:]] != row[t[:-1]])][: len(t)]
+        heads = np.flatnonzero(new)
+        lengths = np.diff(np.r_[heads, len(t)])
+        asks = np.flatnonzero(edge[row] & ~repeat)
+        pick = np.r_[t[heads], asks]
+        doc, print_ = frame["doc"].to_numpy()[row[pick]], frame["print"].to_numpy()[row[pick]]
+        kind = np.r_[np.full(len(heads), REPEAT), np.full(len(asks), SINGLE)]
+        at = start[pick].astype(np.int64) << 16 | np.r_[lengths, np.ones(len(asks), dtype=np.int64)]
         yield pd.DataFrame(
             {
-                "kind": np.where(repeat, REPEAT, SINGLE).astype(np.int8),
-                "a": np.where(repeat, _spread(doc, p), a.view(np.int64)),
-                "b": np.where(repeat, 0, b.view(np.int64)),
+                "kind": kind.astype(np.int8),
+                "a": np.where(kind == REPEAT, _spread(doc, at), a[pick].view(np.int64)),
+                "b": np.where(kind == REPEAT, 0, b[pick].view(np.int64)),
                 "doc": doc,
                 "print": print_,
-                "start": p.astype(np.int32),
+                "at": at,
             }
         )
 
@@ -227,14 +273,14 @@ def _compare_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last = None
     for frame in frames:
         asks = frame["kind"] == SINGLE
-        yield frame.loc[~asks, ["doc", "print", "start"]].assign(n=np.int32(1))
+        yield frame.loc[~asks, ["doc", "print", "at"]]
         own = frame[asks]
         if not len(own):
             continue
         a, b = own["a"].to_numpy(), own["b"].to_numpy()
         repeat = np.r_[(a[0], b[0]) == last, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
         last = (a[-1], b[-1])
-        yield own.loc[repeat, ["doc", "print", "start"]].assign(n=np.int32(1))
+        yield own.loc[repeat, ["doc", "print", "at"]]
 
 
 def _documents(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool]:
@@ -253,27 +299,31 @@ def _documents(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """For unique ``doc, print, raw``: packed ``start << 8 | n`` runs of repeated windows per document."""
+    """For unique ``doc, print, raw``: the repeated windows of every document as a list of
+    ``first window << 16 | ... | number of windows``."""
     key = ["doc", "print"]
-    packed = F.shiftleft(F.col("start").cast("long"), 8).bitwiseOR(F.col("n").cast("long"))
-    found = rows.mapInPandas(_find_runs, RUNS)
+    runs = F.collect_list("at").alias("runs")
     first = saved(
-        found.repartition("rank")
-        .sortWithinPartitions("rank", "whole", "kind", "doc", "print", "start")
+        rows.mapInPandas(_find_runs, RUNS)
+        .repartition("rank")
+        .sortWithinPartitions("rank", "whole", *key, "at")
         .mapInPandas(_compare_runs, MARKED),
         "runs",
     )
-    going = (
-        first.where(F.col("kind") == GOES_ON).groupBy(*key).agg(F.collect_list(packed).alias("runs"))
-    )
-    windows = rows.join(going, key).select(*key, "raw", "runs").mapInPandas(_name_windows, WINDOWS)
+    going = first.where(F.col("kind") == GOES_ON).groupBy(*key).agg(runs)
+    parts = rows.join(going, key).select(*key, "raw", "runs").mapInPandas(_cut_runs, PARTS)
     second = (
-        windows.repartition("a")
-        .sortWithinPartitions("a", "b", "kind", "doc", "print", "start")
-        .mapInPandas(_compare_windows, "doc long, print long, start int, n int")
+        # by ranges, so that a core with very many rows is cut; its windows meet once more
+        parts.repartitionByRange("core", *key, "start")
+        .sortWithinPartitions("core", *key, "start")
+        .select("core", *key, "start", "bytes")
+        .mapInPandas(_compare_parts, WINDOWS)
+        .repartition("a")
+        .sortWithinPartitions("a", "b", "kind", *key, "at")
+        .mapInPandas(_compare_windows, "doc long, print long, at long")
     )
     repeats = first.where(F.col("kind") == REPEAT).drop("kind").unionByName(second)
-    return repeats.groupBy(*key).agg(F.collect_list(packed).alias("runs"))
+    return repeats.groupBy(*key).agg(runs)
 
 
 def _cut(raw: bytes, runs) -> tuple[bytes, int]:
@@ -281,7 +331,7 @@ def _cut(raw: bytes, runs) -> tuple[bytes, int]:
     if runs is None or not len(runs):
         return raw, 0
     packed = np.asarray(runs, dtype=np.int64)
-    start, n = packed >> 8, packed & 255
+    start, n = packed >> 16, packed & 255
     edges = np.zeros(len(raw) + 1, dtype=np.int64)
     np.add.at(edges, start, 1)
     np.add.at(edges, start + n - 1 + LENGTH, -1)
