@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    packing,
     simhash_dedup,
     suffix_dedup,
 )
@@ -13,6 +14,7 @@ def queries() -> dict:
 
     return {
         "op8_simhash_near_dedup": simhash_dedup.op8,
+        "op9_packing": packing.op9,
         "op10_suffix_dedup": suffix_dedup.op10,
         "pipeline": corpus_pipeline.run,
     }
