@@ -38,6 +38,27 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+NO_ID = -(1 << 63)  # stands for a null doc_id: before all others
+
+
+def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, bool]:
+    """``doc, print, text`` per row, null text as empty; and whether rows share a doc_id.
+
+    print is 0, or names the text where rows share a doc_id, so that (doc, print) is a key
+    but for rows that are equal in both.
+    """
+    rows = docs.select(
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    )
+    shared = saved(rows.groupBy("doc").count().where("count > 1").select("doc"), "shared-ids")
+    if shared.isEmpty():
+        return rows.select("doc", F.lit(0).cast("long").alias("print"), "text"), False
+    marked = rows.join(small(shared.withColumn("shared", F.lit(True))), "doc", "left")
+    print_ = F.when(F.col("shared"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return marked.select("doc", print_.alias("print"), "text"), True
+
+
 def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars of the links ``u - v``: every node that is not the smallest of its
     component, and that smallest node."""

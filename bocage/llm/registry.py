@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from . import (
+    license_scan,
+    line_dedup,
     packing,
+    piece_codec,
+    quality_classifier,
+    quality_rules,
     simhash_dedup,
     suffix_dedup,
+    token_counts,
+    topk_search,
 )
 
 
@@ -13,6 +20,13 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_quality_classifier": quality_classifier.op1,
+        "op2_topk_search": topk_search.op2,
+        "op3_line_dedup": line_dedup.op3,
+        "op4_license_scan": license_scan.op4,
+        "op5_piece_codec": piece_codec.op5,
+        "op6_token_counts": token_counts.op6,
+        "op7_quality_rules": quality_rules.op7,
         "op8_simhash_near_dedup": simhash_dedup.op8,
         "op9_packing": packing.op9,
         "op10_suffix_dedup": suffix_dedup.op10,
@@ -23,5 +37,9 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {
+        "op2_topk_search": topk_search.OP2_SQL,
+        "op4_license_scan": license_scan.op4_sql(),
+        "pipeline": corpus_pipeline.ORACLE_SQL,
+    }
     return {k: v for k, v in found.items() if v}

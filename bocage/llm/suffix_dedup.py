@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import NO_ID, keyed, saved
 
 LENGTH = 100
 GRAM = 32
@@ -106,7 +106,6 @@ RUNS = "rank long, whole long, doc long, print long, at long"  # at: << 8 | kind
 MARKED = "kind byte, doc long, print long, at long"
 PARTS = "core long, doc long, print long, start int, bytes binary"
 WINDOWS = "kind byte, a long, b long, doc long, print long, at long"
-NO_ID = -(1 << 63)
 SPLIT = (LENGTH - GRAM) // 2  # windows that begin further before their anchor are the second part
 
 
@@ -283,21 +282,6 @@ def _compare_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield own.loc[repeat, ["doc", "print", "at"]]
 
 
-def _documents(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool]:
-    """``doc, print, raw``, where print is 0, or names the text if rows share a doc_id; and
-    whether any do."""
-    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), raw.cast("binary").alias("raw")
-    )
-    shared = saved(rows.groupBy("doc").count().where("count > 1").select("doc"), "shared-ids")
-    if shared.isEmpty():
-        return rows.select("doc", F.lit(0).cast("long").alias("print"), "raw"), False
-    marked = rows.join(small(shared.withColumn("shared", F.lit(True))), "doc", "left")
-    print_ = F.when(F.col("shared"), F.xxhash64("raw")).otherwise(F.lit(0).cast("long"))
-    return marked.select("doc", print_.alias("print"), "raw"), True
-
-
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """For unique ``doc, print, raw``: the repeated windows of every document as a list of
     ``first window << 16 | ... | number of windows``."""
@@ -349,7 +333,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     text too they are one document, reported for each row.  Empty table: no rows.  Other
     columns are not read.
     """
-    rows, shared = _documents(docs, text, doc_id)
+    rows, shared = keyed(docs, text, doc_id)
+    rows = rows.select("doc", "print", F.col("text").cast("binary").alias("raw"))
     spans = repeated_spans(rows.dropDuplicates(["doc", "print"]) if shared else rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -371,6 +356,40 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
 
 
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with repeated strings cut out of the text; n_chars follows if there is one.
+
+    Columns, nulls and keys as in ``remove_repeats``.  A cut may run through a character; what
+    is left of one is dropped.
+    """
+    rows, shared = keyed(docs, text, doc_id)
+    spans = repeated_spans(
+        (rows.dropDuplicates(["doc", "print"]) if shared else rows).select(
+            "doc", "print", F.col("text").cast("binary").alias("raw")
+        )
+    ).select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), F.col("runs").alias("_runs"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([_cut(t.encode(), r)[0].decode("utf-8", "ignore") for t, r in zip(texts, runs)], dtype=object)
+
+    own = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
+    print_ = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
+    # print is 0 for ids that rows do not share
+    match = (own == F.col("_doc")) & ((F.col("_print") == 0) | (F.col("_print") == print_))
+    marked = docs.join(spans, match, "left")
+    # only texts with something to cut go through Python
+    new = F.when(F.col("_runs").isNull(), docs[text]).otherwise(cut(F.coalesce(docs[text], F.lit("")), F.col("_runs")))
+    kept = marked.withColumn("_new", new)
+    columns = [
+        F.col("_new").alias(c) if c == text
+        else F.length("_new").cast("long").alias(c) if c == "n_chars"
+        else docs[c]
+        for c in docs.columns
+    ]
+    return kept.select(*columns)
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs).select(
