@@ -1,7 +1,7 @@
 """Fuzzy duplicate lines: MinHash, exact Jaccard check, union-find; one line of each
 component stays.
 
-Method.  A line is trimmed of ASCII blanks and A-Z are lowered; lines without a word stay out.
+Method.  A line is trimmed of spaces and lowered; lines without a character stay out.
 Equal lines are one line to begin with.  The signature of a line is a one-permutation MinHash
 of its 8-character shingles in ``BANDS * ROWS`` bins; bins that no shingle falls into borrow
 from another bin.  Lines that agree in all rows of a band are candidates: at a similarity of
@@ -37,7 +37,6 @@ FEW = 8  # up to so many lines of a band value, all pairs are candidates
 BACK = 4  # beyond, those with the first and the last so many lines
 CHUNK = 1 << 18  # characters hashed at once
 SEED = 42
-BLANKS = " \t\r\x0b\x0c"
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -50,7 +49,7 @@ def _mix(a: np.ndarray, b) -> np.ndarray:
 
 
 def normal(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.lower(F.trim(line))
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -59,18 +58,21 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return split.withColumn("line", normal(F.col("line"))).where("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
-def shingles(line: str) -> frozenset[str]:
-    """All 8-character shingles; a shorter line is its own."""
-    return frozenset(line[i : i + SHINGLE] for i in range(max(len(line) - SHINGLE + 1, 1)))
+def shingles(line: str) -> frozenset:
+    """All 8-character shingles; a shorter line is its own.  An ASCII shingle is told by its 8
+    bytes as a number."""
+    if len(line) >= SHINGLE and line.isascii():
+        raw = np.frombuffer(line.encode(), dtype=np.uint8)
+        return frozenset(np.lib.stride_tricks.sliding_window_view(raw, SHINGLE).copy().view("<u8").ravel().tolist())
+    found = {line[i : i + SHINGLE] for i in range(max(len(line) - SHINGLE + 1, 1))}
+    return frozenset(int.from_bytes(x.encode(), "little") if len(x) == SHINGLE and x.isascii() else x for x in found)
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """Keys of the bands, one row per line."""
-    points = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in lines]
-    # a shorter line is filled up, so that it has one shingle
-    points = [p if len(p) >= SHINGLE else np.r_[p, np.zeros(SHINGLE - len(p), dtype="<u4")] for p in points]
-    sizes = np.array([len(p) for p in points])
-    rank = np.concatenate(points).astype(np.uint64) + np.uint64(1)
+    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]  # so that it has one shingle
+    sizes = np.array([len(x) for x in lines])
+    rank = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4") + np.uint64(1)
     h = 1
     while h < SHINGLE:
         rank = _mix(rank[: len(rank) - h], rank[h:])
@@ -178,7 +180,8 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
                     keep.append(False)
                 else:
                     other = shingles(line)
-                    both = len(sets & other)
+                    # the smaller set bounds what both can share
+                    both = len(sets & other) if similarity * max(len(sets), len(other)) <= min(len(sets), len(other)) else 0
                     keep.append(own == a and both >= similarity * (len(sets) + len(other) - both))
             yield frame.loc[keep, ["a", "b"]]
 
@@ -201,7 +204,7 @@ def removed_lines(rows: DataFrame) -> DataFrame:
     pairs = saved(candidates(lines), "candidates")
     links = saved(verified(pairs, lines), "links")
     roots = components(links, "a", "b").withColumnRenamed("node", "id")
-    places = lines.select("doc", "print", "line_no", "id").join(small(roots), "id", "left")
+    places = saved(lines.select("doc", "print", "line_no", "id"), "places").join(small(roots), "id", "left")
     places = places.select(F.coalesce("root", "id").alias("root"), F.struct("doc", "print", "line_no").alias("place"))
     firsts = (
         places.groupBy("root")
@@ -218,8 +221,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
     Null or empty text: one empty line, which stays.  Null doc_id: before all others.  Rows
     that share a doc_id are separate documents in the order of a print of their text; if
-    they share the text too they are one document, reported for each row.  Lines without a
-    word stay.  Lines shorter than a shingle go only with equal ones.  Empty table: no rows.
+    they share the text too they are one document, reported for each row.  Blank
+    lines stay.  Lines shorter than a shingle go only with equal ones.  Empty table: no rows.
     Other columns are not read.
     """
     rows, shared = keyed(docs, text, doc_id)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"  # stands for a space inside pieces
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000  # per variant
 _PARTS = re.compile(" *[^ \n]+| +(?=\n|$)|\n")
 _MIX = 0x9E3779B97F4A7C15
 _FULL = (1 << 64) - 1
@@ -49,29 +49,26 @@ class Codec:
             else:
                 self.ids[piece], self.score[piece] = i, model.get_score(i)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
-        self.known: dict[tuple, tuple[int, ...]] = {}
+        self.known: dict[int, dict[str, tuple[int, ...]]] = {}
 
     def word(self, word: str, dropout: float, key: int) -> list[int]:
         """Ids of one part of a text, its spaces still spaces."""
         # a mark in the text itself is no space: it goes the way of unknown characters
         text = word.replace(MARK, "\0").replace(" ", MARK)
         n = len(text)
+        score, push, pop = self.score.get, heapq.heappush, heapq.heappop
+        limit = int(dropout * (1 << 64))
         end = list(range(1, n + 1))  # of the symbol that starts here; 0 once merged away
         before = list(range(-1, n - 1))
-        limit = int(dropout * (1 << 64))
-        agenda: list[tuple] = []
-        score = self.score
-
-        def offer(left: int, right: int) -> None:
-            s = score.get(text[left : end[right]])
-            if s is not None:
-                heapq.heappush(agenda, (-s, left, right, end[right]))
-
+        agenda = []
         for i in range(n - 1):
-            offer(i, i + 1)
+            s = score(text[i : i + 2])
+            if s is not None:
+                agenda.append((-s, i, i + 1, i + 2))
+        heapq.heapify(agenda)
         while agenda:
-            _, left, right, stop = heapq.heappop(agenda)
-            if not end[left] or not end[right] or end[left] != right or end[right] != stop:
+            _, left, right, stop = pop(agenda)
+            if end[left] != right or end[right] != stop:
                 continue  # one of its parts has changed
             if limit:
                 h = (key ^ (left * 0xC2B2AE3D27D4EB4F + right * 0x165667B19E3779F9 + stop)) * _MIX & _FULL
@@ -81,14 +78,18 @@ class Codec:
             end[left], end[right] = stop, 0
             if stop < n:
                 before[stop] = left
-                offer(left, stop)
-            if before[left] >= 0:
-                offer(before[left], left)
-        out: list[int] = []
-        i = 0
+                further = end[stop]
+                s = score(text[left:further])
+                if s is not None:
+                    push(agenda, (-s, left, stop, further))
+            first = before[left]
+            if first >= 0:
+                s = score(text[first:stop])
+                if s is not None:
+                    push(agenda, (-s, first, left, stop))
+        ids, out, i = self.ids, [], 0
         while i < n:
-            piece = text[i : end[i]]
-            own = self.ids.get(piece)
+            own = ids.get(text[i : end[i]])
             if own is not None:
                 out.append(own)
             else:
@@ -97,14 +98,15 @@ class Codec:
         return out
 
     def encode(self, text: str, dropout: float = 0.0, seed: int = 0, variant: int = 0) -> list[int]:
-        known, out = self.known, []
+        known, out = self.known.setdefault(variant, {}), []
         if len(known) > CACHED_WORDS:
             known.clear()
+        salt = seed * 1_000_003 + variant & _FULL
         for part in _PARTS.findall(" " + text) if text else ():
-            ids = known.get((part, variant))
+            ids = known.get(part)
             if ids is None:
-                key = xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), seed * 1_000_003 + variant & _FULL)
-                ids = known[part, variant] = tuple(self.word(part, dropout, key))
+                key = xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), salt)
+                ids = known[part] = tuple(self.word(part, dropout, key))
             out += ids
         return out
 
