@@ -75,8 +75,9 @@ def disc_polygon(x, y, radius, quadrant_segments: int = 50) -> Column:
 
 def from_wkt(wkt) -> Column:
     """Parse POINT, LINESTRING, POLYGON and their MULTI forms with built-in functions."""
-    text = F.upper(F.trim(_col(wkt)))
+    text = F.regexp_replace(F.upper(F.trim(_col(wkt))), r"^SRID=\d+;\s*", "")
     body = F.regexp_replace(text, r"^[A-Z ]+", "")
+    closed = text.rlike(r"^(MULTI)?POLYGON")
     # bring every kind to the depth of a MULTIPOLYGON: "(((ring),(ring)),((ring)))"
     depth = (
         F.when(text.startswith("MULTIPOLYGON"), body)
@@ -86,6 +87,14 @@ def from_wkt(wkt) -> Column:
             # every line is a part of its own, so that none is taken for a hole
             F.concat(F.lit("("), F.regexp_replace(body, r"\)\s*,\s*\(", ")),(("), F.lit(")")),
         )
+        .when(
+            text.startswith("MULTIPOINT"),
+            F.concat(
+                F.lit("((("),
+                F.regexp_replace(F.regexp_replace(body, r"[()]", ""), r"\s*,\s*", ")),(("),
+                F.lit(")))"),
+            ),
+        )
         .otherwise(F.concat(F.lit("(("), body, F.lit("))")))
     )
     parts = F.split(depth, r"\)\s*\)\s*,\s*\(\s*\(")
@@ -110,11 +119,20 @@ def from_wkt(wkt) -> Column:
     numbered = F.transform(
         rings,
         lambda r, i: F.struct(
-            i.cast("int").alias("ring_id"), r["is_hole"].alias("is_hole"), r["pts"].alias("pts")
+            i.cast("int").alias("ring_id"),
+            r["is_hole"].alias("is_hole"),
+            # a polygon's ring ends where it began
+            F.when(
+                closed & (F.element_at(r["pts"], 1) != F.element_at(r["pts"], -1)),
+                F.concat(r["pts"], F.slice(r["pts"], 1, 1)),
+            ).otherwise(r["pts"]).alias("pts"),
         ),
     )
-    known = text.rlike(r"^(MULTI)?(POINT|LINESTRING|POLYGON)\s*\(")
-    return F.when(known, numbered)
+    known = text.rlike(r"^(MULTI)?(POINT|LINESTRING|POLYGON)\s*(Z|M|ZM)?\s*\(")
+    whole = F.forall(
+        numbered, lambda r: F.forall(r["pts"], lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    )
+    return F.when(known & whole, numbered)
 
 
 def to_wkt(geometry, kind: str = "polygon") -> Column:
@@ -153,9 +171,10 @@ def to_wkt(geometry, kind: str = "polygon") -> Column:
         ),
     )
     n_outer = F.size(F.filter(geometry, lambda r: ~r["is_hole"]))
-    return F.when(n_outer > 1, F.concat(F.lit("MULTIPOLYGON ("), body, F.lit("))"))).otherwise(
+    text = F.when(n_outer > 1, F.concat(F.lit("MULTIPOLYGON ("), body, F.lit("))"))).otherwise(
         F.concat(F.lit("POLYGON "), body, F.lit(")"))
     )
+    return F.when(geometry.isNotNull(), text)
 
 
 # --- edges ----------------------------------------------------------------------------
@@ -266,9 +285,11 @@ def centroid(geometry) -> Column:
 def centroids(layer: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Point layer: attributes kept, geometry replaced by the columns ``x`` and ``y``."""
     keep = [c for c in layer.columns if c not in (geometry, "x", "y")]
-    return layer.select(*keep, centroid(geometry).alias("_c")).select(
+    points = layer.select(*keep, centroid(geometry).alias("_c")).select(
         *keep, F.col("_c.x").alias("x"), F.col("_c.y").alias("y")
     )
+    srid = srid_of(layer)
+    return points if srid is None else set_srid(points, srid)
 
 
 def drop_geometry(layer: DataFrame, geometry: str = "geometry") -> DataFrame:

@@ -12,6 +12,7 @@ from .skew import salted_join
 from .tiles import CELL_M, _lit, line_tiles, polygon_tiles, tile_areas
 
 # Contacts without extent (shared borders) come out as rounding noise and are no overlap.
+# Sums below these arguments are taken for such noise; totals are never cut.
 MIN_AREA_M2 = 1e-6
 MIN_LENGTH_M = 1e-6
 
@@ -49,6 +50,7 @@ def overlay_polygons_discs(
     cell: float = CELL_M,
     quadrant_segments: int = 50,
     near_only: bool = False,
+    min_area: float = MIN_AREA_M2,
 ) -> DataFrame:
     """Area of the polygons of each group ``by`` inside each disc.
 
@@ -77,7 +79,7 @@ def overlay_polygons_discs(
         inside.union(rim)
         .groupBy("x", "y", "r", *by)
         .agg(F.sum("area_m2").alias("area_m2"))
-        .where(F.col("area_m2") > MIN_AREA_M2)
+        .where(F.col("area_m2") > min_area)
     )
     return targets.join(areas, ["x", "y", "r"])
 
@@ -88,6 +90,7 @@ def overlay_lines_discs(
     line_id: str,
     cell: float = CELL_M,
     quadrant_segments: int = 50,
+    min_length: float = MIN_LENGTH_M,
 ) -> DataFrame:
     """Length of each line inside each disc: target columns, ``line_id``, ``length_m``."""
     cells = disc_cells(_places(targets), cell, quadrant_segments)
@@ -103,7 +106,7 @@ def overlay_lines_discs(
         )
         .groupBy("x", "y", "r", line_id)
         .agg(F.sum("length_m").alias("length_m"))
-        .where(F.col("length_m") > MIN_LENGTH_M)
+        .where(F.col("length_m") > min_length)
     )
     return targets.join(lengths, ["x", "y", "r"])
 
@@ -114,6 +117,7 @@ def overlay_polygons(
     left_by: list[str],
     right_by: list[str] = (),
     cell: float = CELL_M,
+    min_area: float = MIN_AREA_M2,
 ) -> DataFrame:
     """Area shared by polygons of two layers, per group of either side (``area_m2`` > 0).
 
@@ -167,7 +171,7 @@ def overlay_polygons(
         )
     )
     out = pairs.groupBy(*keys).agg(F.sum("area_m2").alias("area_m2"))
-    out = out.where(F.col("area_m2") > MIN_AREA_M2)
+    out = out.where(F.col("area_m2") > min_area)
     if not right_by:
         out = out.withColumnsRenamed({f"l_{k}": k for k in left_by})
     return out

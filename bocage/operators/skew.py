@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more rows than this and more than 1/HOT_KEYS of the table,
-# so there are never more than HOT_KEYS hot keys: that bound makes the broadcast safe.
+# A key is hot when it holds more rows than this, however large the table is.
 HOT_ROWS = 20_000
-HOT_KEYS = 1_000
 
 
 def salted_join(
@@ -16,7 +14,6 @@ def salted_join(
     other: DataFrame,
     keys: list[str],
     hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Inner equi-join in which every hot key of ``big`` is spread over many tasks.
 
@@ -24,15 +21,10 @@ def salted_join(
     repeated once per salt.  Nothing is dropped; keys that are not hot keep a single salt.
     """
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    limit = F.greatest(
-        F.lit(float(hot_rows)),
-        counts.agg(F.sum("_n") / F.lit(float(hot_keys))).scalar(),
-    )
     hot = (
-        counts.where(F.col("_n") > limit)
+        counts.where(F.col("_n") > F.lit(hot_rows))
         .select(*keys, F.ceil(F.col("_n") / F.lit(float(hot_rows))).cast("int").alias("_salts"))
     )
-    hot = F.broadcast(hot)
     spread = F.pmod(
         F.xxhash64(*[c for c in big.columns if c not in keys]),
         F.coalesce(F.col("_salts"), F.lit(1)),

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as g
 from .skew import salted_join
 from .tiles import CELL_M, cell_of, polygon_records
 
@@ -33,7 +32,7 @@ def match_points(
     ).drop("ys", "ye")
     pts = cell_of(points.select(F.col(point_id).alias("pt"), "x", "y"), cell)
     met = salted_join(records, pts, ["cx", "cy"])
-    # side > 0: the edge runs above the point (edges are stored left to right)
+    # side < 0: the point lies below the edge (edges are stored left to right)
     side = "((xb - xa) * (y - ya) - (yb - ya) * (x - xa))"
     span = "(abs(xb - xa) + abs(yb - ya))"
     hits = met.selectExpr(
@@ -41,8 +40,9 @@ def match_points(
         f"CASE WHEN NOT (xs <= x AND x < xe) THEN 0 WHEN {_has_edge()} THEN if({side} < 0, w, 0)"
         f" ELSE if(closing_top, w, 0) END AS w",
         f"coalesce(abs({side}) <= {ON_EDGE!r}D * {span}"
-        f" AND x BETWEEN xa - {ON_EDGE!r}D AND xb + {ON_EDGE!r}D"
-        f" AND y BETWEEN least(ya, yb) - {ON_EDGE!r}D AND greatest(ya, yb) + {ON_EDGE!r}D, false) AS on_edge",
+        f" AND x BETWEEN xa - {ON_EDGE!r}D * {span} AND xb + {ON_EDGE!r}D * {span}"
+        f" AND y BETWEEN least(ya, yb) - {ON_EDGE!r}D * {span} AND greatest(ya, yb) + {ON_EDGE!r}D * {span},"
+        f" false) AS on_edge",
     ).where("w <> 0 OR on_edge")
     return (
         hits.groupBy("poly", "pt")
@@ -99,3 +99,19 @@ def match_polygons(
         meeting.union(held).union(holds).distinct()
         .select(F.col("lid").alias(left_id), F.col("rid").alias(right_id))
     )
+
+
+def join_points(
+    polygons: DataFrame, points: DataFrame, polygon_id: str, point_id: str, cell: float = CELL_M
+) -> DataFrame:
+    """All polygons with the attributes of every point they hold; NULL for those that hold none."""
+    pairs = match_points(polygons, points, polygon_id, point_id, cell)
+    return polygons.join(pairs.join(points.drop("x", "y"), point_id), polygon_id, "left")
+
+
+def join_polygons(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float = CELL_M
+) -> DataFrame:
+    """All left polygons with the attributes of every right polygon they touch."""
+    pairs = match_polygons(left, right, left_id, right_id, cell)
+    return left.join(pairs.join(right.drop("geometry"), right_id), left_id, "left")

@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 def rename_clashes(left: DataFrame, right: DataFrame, keys, left_name: str, right_name: str):
     """Give columns both sides have a prefix that says where they come from."""
-    clash = [c for c in left.columns if c in right.columns and c not in keys]
+    clash = [c for c in left.columns if c in right.columns]
     return (
-        left.withColumnsRenamed({c: f"{left_name}_{c}" for c in clash}),
+        left.withColumnsRenamed({c: f"{left_name}_{c}" for c in clash if c not in keys}),
         right.withColumnsRenamed({c: f"{right_name}_{c}" for c in clash}),
     )
 
@@ -154,11 +154,12 @@ def pivot_sum(
     values_from: str,
     names: dict,
     null_name: str | None = None,
+    other_name: str | None = None,
 ) -> DataFrame:
     """Long to wide with the output columns fixed beforehand by ``names`` (value -> column).
 
-    A value that is absent from the data still gets its column (NULL); values that are not
-    listed are left out.  ``null_name`` is the column for a NULL value.  Written as
+    A value that is absent from the data still gets its column (NULL).  ``null_name`` is the
+    column for a NULL value, ``other_name`` the one for all values that are not listed.  Written as
     conditional sums, which is what a pivot with listed values runs as, in one pass.
     """
     cells = [
@@ -167,6 +168,9 @@ def pivot_sum(
     ]
     if null_name:
         cells.append(F.sum(F.when(F.col(names_from).isNull(), F.col(values_from))).alias(null_name))
+    if other_name:
+        listed = F.col(names_from).isin(list(names))
+        cells.append(F.sum(F.when(~listed, F.col(values_from))).alias(other_name))
     return df.groupBy(*keys).agg(*cells)
 
 

@@ -13,7 +13,7 @@ therefore be merged before anything is joined: copies collapse, and a border sha
 polygons of one class cancels.
 
 The closing pieces need no sort along the grid line: an edge that crosses the line at ``x``
-adds a piece from ``x`` to the right end of the polygon; beyond the polygon they cancel.
+adds a piece from ``x`` to the right end of its ring; beyond the ring they cancel.
 """
 
 from __future__ import annotations
@@ -89,8 +89,11 @@ def polygon_records(
     c = _lit(cell)
     exploded = layer.select(
         *by,
-        F.floor(g.x_max(geometry) / F.lit(float(cell))).alias("last_cx"),
-        F.explode(g.oriented_edges(geometry)).alias("e"),
+        F.explode(g.orient(geometry)).alias("_ring"),
+    ).select(
+        *by,
+        F.floor(F.array_max(F.transform("_ring.pts", lambda p: p["x"])) / F.lit(float(cell))).alias("last_cx"),
+        F.explode(g.ring_edges(F.col("_ring.pts"))).alias("e"),
     )
     edges = _left_to_right(exploded, [*by, "last_cx"])
     steps = "array<struct<closing:boolean,i:bigint>>"
@@ -130,10 +133,11 @@ def polygon_records(
         f"if(closing, i * {c}, ya + u1 * (yb - ya)) AS ye",
         "CASE WHEN NOT closing THEN w WHEN side = -1 THEN down ELSE -down END AS w",
         *[f"if(closing, NULL, {v}) AS {v}" for v in ("xa", "ya", "xb", "yb")],
+        "closing AND side = -1 AS closing_top",
     )
     if touching:
         return records
-    return records.drop("xa", "ya", "xb", "yb").where("xs < xe")
+    return records.drop("xa", "ya", "xb", "yb", "closing_top").where("xs < xe")
 
 
 def merge_records(records: DataFrame, by: list[str]) -> DataFrame:
