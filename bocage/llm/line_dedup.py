@@ -15,6 +15,12 @@ lines of one task share is reduced there: beyond ``FEW`` lines each is a candida
 before it, and only the first ``FEW`` are sent on.  The same holds where the rows meet, so
 candidates grow with the lines, never with the square of a group, and a group streams
 through a task in bounded memory.  Texts are shuffled only for lines that are candidates.
+
+Crowded band values.  Lines of a value with more than ``FEW`` lines are written down.  Where the
+links found so far leave such a value in one component, more links could not change it.  The
+lines of all other crowded values go through an exact join: lines with a similarity of t
+share one of their 1 + size - ceil(t * size) rarest shingles, so lines of different components that
+share one, with sizes and places that allow t, are candidates too.  So no link is lost to ``FEW``.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ SHINGLE = 8
 BANDS, ROWS = 10, 4
 BINS = BANDS * ROWS
 SIMILARITY = 0.8
-FEW = 8  # up to so many lines of a band value, all pairs are candidates
+FEW = 8  # up to so many lines of a band value, all pairs are candidates; more make it crowded
 BACK = 4  # beyond, those with the first and the last so many lines
 CHUNK = 1 << 18  # characters hashed at once
 SEED = 42
@@ -119,8 +125,22 @@ def _candidates(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.minimum(a, b), np.maximum(a, b), place
 
 
+BAND, PAIR, MEMBER = 0, 1, 2  # kinds of rows: (key, id), (id, id), (crowded key, id)
+
+
+def _rows(kind: int, first: np.ndarray, second: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": first, "b": second, "kind": np.full(len(first), kind, dtype=np.int8)})
+
+
+def _crowded(key: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys occur more than ``FEW`` times."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    return np.repeat(sizes > FEW, sizes)
+
+
 def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines -> band rows (key, id) and, of values common in the batch, candidates (id, other)."""
+    """Lines -> band rows and, of values crowded in the batch, candidates and members."""
     for frame in frames:
         frame = frame.drop_duplicates("id")
         ids, lines = frame["id"].to_numpy(), frame["line"].tolist()
@@ -137,17 +157,17 @@ def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b, place = _candidates(key, line)
         sent = place < FEW
         pair = np.unique(np.stack([a, b]), axis=1)
-        yield pd.DataFrame({"key": np.r_[key[sent], pair[1]], "id": np.r_[line[sent], pair[0]],
-                            "pair": np.r_[np.zeros(sent.sum(), dtype=bool), np.ones(pair.shape[1], dtype=bool)]})
+        many = _crowded(key)
+        yield pd.concat(
+            [_rows(BAND, key[sent], line[sent]), _rows(PAIR, *pair), _rows(MEMBER, key[many], line[many])]
+        )
 
 
 def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Band rows sorted by key -> candidates; pairs found before pass through."""
+    """Band rows sorted by key -> candidates, and members of crowded keys."""
     held = None  # of the last key: its first lines, and the last ones
     for frame in frames:
-        found = frame["pair"].to_numpy()
-        yield pd.DataFrame({"a": frame["id"][found], "b": frame["key"][found]})
-        key, line = frame["key"].to_numpy()[~found], frame["id"].to_numpy()[~found]
+        key, line = frame["a"].to_numpy(), frame["b"].to_numpy()
         if not len(key):
             continue
         if held is not None and held[0] == key[0]:
@@ -155,16 +175,67 @@ def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]
         key, line = key[new], line[new]
         a, b, _ = _candidates(key, line)
-        yield pd.DataFrame({"a": a, "b": b})
+        many = _crowded(key)
+        yield pd.concat([_rows(PAIR, a, b), _rows(MEMBER, key[many], line[many])])
         own = line[key == key[-1]]
         held = (key[-1], own if len(own) <= 2 * FEW else np.r_[own[:FEW], own[-FEW:]])
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of line ids that agree in a band."""
-    rows = lines.select("id", "line").mapInPandas(_signed, "key long, id long, pair boolean")
-    met = rows.repartition("key").sortWithinPartitions("key", "id").mapInPandas(_met, "a long, b long")
-    return met.where("a < b").distinct()
+def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a < b`` of line ids that agree in a band, and the members ``key, id`` of
+    crowded band values."""
+    schema = "a long, b long, kind byte"
+    rows = saved(lines.select("id", "line").mapInPandas(_signed, schema), "bands")
+    bands = rows.where(F.col("kind") == BAND).repartition("a").sortWithinPartitions("a", "b")
+    met = saved(bands.mapInPandas(_met, schema).union(rows.where(F.col("kind") != BAND)), "met")
+    pairs = met.where((F.col("kind") == PAIR) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    members = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
+    return pairs, members
+
+
+def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per shingle of a line, with the number of its shingles; a batch holds few lines."""
+    for frame in frames:
+        for id_, line in zip(frame["id"], frame["line"]):
+            found = {x if isinstance(x, int) else xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in shingles(line)}
+            tokens = np.array(sorted(found), dtype=np.int64)
+            yield pd.DataFrame({"id": np.full(len(tokens), id_), "token": tokens, "size": len(tokens)})
+
+
+def crowded_candidates(lines: DataFrame, members: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs ``a < b`` that may link different components inside crowded band values.
+
+    Exact: every pair of such lines with at least ``similarity`` is among them.
+    """
+    placed = members.join(small(roots), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    placed = saved(placed, "members")
+    spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    spread = saved(spread.select("key"), "spread")
+    open_ = saved(placed.join(small(spread), "key", "left_semi").select("id", "root").distinct(), "open-lines")
+    texts = lines.select("id", "line").join(small(open_), "id", "left_semi").dropDuplicates(["id"])
+    tokens = saved(texts.mapInPandas(_tokens, "id long, token long, size long"), "tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # shingles from the rarest on; those that a line has alone only take up places
+    ranked = tokens.join(counts, "token").groupBy("id").agg(
+        F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked")
+    )
+    reach = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
+    rare = ranked.select("id", "size", F.posexplode(F.slice("ranked", F.lit(1), reach)).alias("place", "token"))
+    rare = rare.where("token.n > 1").join(open_, "id").select("id", "root", "size", "place", F.col("token.token").alias("token"))
+    rare = saved(rare, "rare-shingles")
+    x, y = rare.alias("x"), rare.alias("y")
+    share = similarity / (1 + similarity)
+    most = F.least(F.expr("x.size - x.place"), F.expr("y.size - y.place"))  # can be shared from here on
+    return (
+        x.join(
+            y,
+            F.expr("x.token = y.token AND x.id < y.id AND x.root <> y.root")
+            & (most >= (F.expr("x.size + y.size")) * share - 1e-9)
+            & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity - 1e-9),
+        )
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .distinct()
+    )
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -201,9 +272,14 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
 def removed_lines(rows: DataFrame) -> DataFrame:
     """For unique keyed rows: ``doc, print, gone``, the numbers of the lines that go."""
     lines = lines_of(rows)
-    pairs = saved(candidates(lines), "candidates")
+    pairs, members = candidates(lines)
+    pairs = saved(pairs, "candidates")
     links = saved(verified(pairs, lines), "links")
     roots = components(links, "a", "b").withColumnRenamed("node", "id")
+    further = saved(crowded_candidates(lines, members, roots).join(pairs, ["a", "b"], "left_anti"), "further")
+    found = saved(verified(further, lines), "further-links")
+    if not found.isEmpty():
+        roots = components(links.union(found), "a", "b").withColumnRenamed("node", "id")
     places = saved(lines.select("doc", "print", "line_no", "id"), "places").join(small(roots), "id", "left")
     places = places.select(F.coalesce("root", "id").alias("root"), F.struct("doc", "print", "line_no").alias("place"))
     firsts = (

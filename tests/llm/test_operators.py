@@ -156,6 +156,37 @@ def test_line_dedup(spark, docs, rows, nothing):
     assert line_dedup.line_dedup(nothing).isEmpty()
 
 
+def test_crowded_band_values_lose_no_link(spark):
+    """Chains of lines inside groups of like lines that are mostly below the similarity."""
+    rng = random.Random(11)
+    base = _prose(rng, 14)
+    texts = []
+    for _ in range(60):
+        line = list(base)
+        for _ in range(6):
+            for at in rng.sample(range(len(line)), 2):
+                line[at] = rng.choice("abcdefgh")
+            texts.append("".join(line))
+    rng.shuffle(texts)
+    rows = [(i, "\n".join(texts[9 * i : 9 * i + 9])) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lines = line_dedup.lines_of(line_dedup.keyed(frame)[0])
+    members = line_dedup.candidates(lines)[1]
+    assert members.groupBy("key").count().where("count > 20").count() > 0
+    alone = spark.createDataFrame([], "id long, root long")
+    found = {tuple(r) for r in line_dedup.crowded_candidates(lines, members, alone).collect()}
+    held = {}
+    for r in members.collect():
+        held.setdefault(r.key, set()).add(r.id)
+    text = {r.id: line_dedup.shingles(r.line) for r in lines.collect()}
+    for ids in held.values():
+        for a, b in combinations(sorted(ids), 2):
+            if len(text[a] & text[b]) >= 0.8 * len(text[a] | text[b]):
+                assert (a, b) in found
+    got = {r.doc_id: r.gone for r in line_dedup.line_dedup(frame).collect()}
+    assert got == _brute_lines(rows)
+
+
 def test_shingles_of_mixed_lines_meet():
     a = "a long line with one accent at its very end e"
     assert len(line_dedup.shingles(a) & line_dedup.shingles(a[:-1] + "é")) == len(a) - 8
