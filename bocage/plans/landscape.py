@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,19 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import tables as t
 from ..operators.overlay import discs, overlay_lines_discs, overlay_polygons, overlay_polygons_discs
-from ..operators.spatial_join import match_points
+from ..operators.spatial_join import match_points, match_polygons
 
 # Area of the nominal disc of radius 1, land-cover classes, net types.
 NOMINAL_DISC = 3.141016
 LAND_COVER = {
     1: "vergers", 2: "urbain", 3: "cult_annuelles", 4: "milieu_nat", 5: "prairies", 6: "vignes", 0: "autres",
 }
+VEGETATION = {
+    "Bois": "bois", "Forêt fermée de feuillus": "foret_fermee_feuillus", "Haie": "haie", "Verger": "verger",
+    "Forêt ouverte": "foret_ouverte", "Lande ligneuse": "lande_ligneuse", "Vigne": "vigne",
+    "Forêt fermée mixte": "foret_fermee_mixte", "Forêt fermée de conifères": "foret_fermee_coniferes",
+}
+SEMI_NATURAL = [c for c in VEGETATION.values() if c not in ("bois", "verger", "vigne")]
 NET_TYPES = {t: t for t in ("absent", "monoparcelle", "monorang", "non_deploye")}
 
 
@@ -96,6 +103,38 @@ def net_composition(plots: DataFrame, land_cover: DataFrame, nets: DataFrame, ra
     return wide.withColumns(out | disc).withColumn("pourcent_vergers", sum(F.col(c) for c in disc))
 
 
+def netted_share(plots: DataFrame, land_cover: DataFrame, nets: DataFrame, radii) -> DataFrame:
+    """Area under nets per disc, its share of the nominal disc and of the orchard area; 0 where there is none.
+
+    Netted are land-cover polygons that touch a net-layer orchard with a net, once for each.  Discs
+    without any land cover have no row.  ``percent_of_orchards_with_nets`` is NULL where there are nets
+    but no orchards.
+    """
+    targets = discs(plots.select("id_plot", "x", "y"), radii)
+    own = nets.where(F.col("Code_n3").cast("string").startswith("1") & F.col("filet").isin("oui", "mixte"))
+    pairs = match_polygons(land_cover, own.withColumnRenamed("FID", "net"), "FID", "net")
+    held = land_cover.select("FID", "geometry").join(pairs, "FID").withColumn("one", F.lit(1))
+    netted = overlay_polygons_discs(held, targets, ["one"]).select("id_plot", "r", F.col("area_m2").alias("area_filets"))
+    cover = overlay_polygons_discs(land_cover, targets, ["Code_n1"])
+    orchards = t.pivot_sum(cover, ["id_plot", "r"], "Code_n1", "area_m2", {1: "vergers"})
+    both = t.fill_zero(orchards.join(netted, ["id_plot", "r"], "left"), ["vergers", "area_filets"])
+    return both.withColumns({
+        "percent_verger_filet": _nominal("area_filets"),
+        "percent_of_orchards_with_nets": t.share("area_filets", "vergers"),
+    })
+
+
+def semi_natural_share(plots: DataFrame, vegetation: DataFrame, radii) -> DataFrame:
+    """Shares of the nominal disc under six kinds of vegetation and their sum, for discs with any vegetation."""
+    areas = overlay_polygons_discs(vegetation, discs(plots.select("id_plot", "x", "y"), radii), ["NATURE"])
+    wide = t.fill_zero(
+        t.pivot_sum(areas, ["id_plot", "r"], "NATURE", "area_m2", VEGETATION), list(VEGETATION.values())
+    )
+    shares = [_nominal(c).alias(f"percent_{c}") for c in SEMI_NATURAL]
+    total = sum(F.col(f"percent_{c}") for c in SEMI_NATURAL)
+    return wide.select("id_plot", "r", *shares).withColumn("percent_ESN", total)
+
+
 def organic_share(plots: DataFrame, organic: DataFrame, radii) -> DataFrame:
     """Share of the nominal disc under organic orchards; 0 where there are none."""
     targets = discs(plots.select("id_plot", "x", "y"), radii)
@@ -119,6 +158,33 @@ def landscape_table(composition, nets, organic, hedges, radius: int) -> DataFram
     return t.add_suffix(one[0].join(rest, "id_plot", "left"), f"_buffer_{radius}", ["id_plot"])
 
 
+def multi_radius(tables: list[DataFrame]) -> DataFrame:
+    """Landscape tables of several radii side by side, for the plots that all of them have."""
+    return reduce(lambda a, b: a.join(b, "id_plot"), tables)
+
+
+def with_plot_info(table: DataFrame, info: DataFrame) -> DataFrame:
+    """Plots with their landscape and attributes, either may be missing; those excluded for birds."""
+    return table.join(info, "id_plot", "full").where("exclu_oiseaux = 'oui'")
+
+
+def candidates(*layers: DataFrame) -> DataFrame:
+    """All candidates of the layers with the defaults for missing values, in this order:
+    no exclusion is one of birds, no word on nets is an exclusion, no validation is a valid plot."""
+    named = ["id_plot", "AB", "filet", "exclu", "valide_2022"]
+    return t.union_by_name(*layers).select(*named).select(
+        "id_plot", "AB", "filet",
+        F.when(F.col("filet").isNull(), F.lit("oui")).otherwise(F.coalesce("exclu", F.lit("Oiseaux"))).alias("exclu"),
+        F.coalesce("valide_2022", F.lit("ok")).alias("valide_2022"),
+    )
+
+
+def histogram(df: DataFrame, column: str, width: float) -> DataFrame:
+    """``middle, n``: rows per bin of the width; bins lie around its multiples and hold their upper end."""
+    middle = F.ceil((F.col(column) - width / 2) / width) * F.lit(float(width))
+    return df.where(F.col(column).isNotNull()).groupBy(middle.cast("double").alias("middle")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def orchard_crosstab(nets: DataFrame) -> DataFrame:
     """Number and area of features per detailed code and net type."""
     rows = normalise_nets(nets).withColumn("area_m2", g.area("geometry"))

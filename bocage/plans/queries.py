@@ -77,6 +77,33 @@ def plots(spark, d) -> DataFrame:
     return p.merge_plot_years(plot_years(spark, d))
 
 
+def vegetation(spark, d) -> DataFrame:
+    x, y = F.col("x"), F.col("y")
+    kind = F.get(F.array(*[F.lit(k) for k in p.VEGETATION]), (F.col("FID") * 7 % 9).cast("int"))
+    return _cells(spark, d).where("size % 4 = 0").select(
+        kind.alias("NATURE"), g.rectangle(x + 20, y, x + 20 + F.col("size"), y + 40).alias("geometry")
+    )
+
+
+def plot_info(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/supplier.parquet").selectExpr(
+        "CAST(s_suppkey + 3 AS STRING) AS id_plot", "s_name AS nom", "IF(s_nationkey % 2 = 0, 'oui', 'non') AS exclu_oiseaux"
+    )
+
+
+def candidate_layers(spark, d) -> list[DataFrame]:
+    """Plots of the year without validation, and those of the year before without exclusion."""
+    new = spark.read.parquet(f"{d}/supplier.parquet").selectExpr(
+        "CAST(s_suppkey AS STRING) AS id_plot", "'OUI' AS AB", "IF(s_nationkey % 3 = 0, NULL, 'NON') AS filet",
+        "IF(s_suppkey % 4 = 0, 'non', NULL) AS exclu",
+    )
+    old = spark.read.parquet(f"{d}/customer.parquet").selectExpr(
+        "concat('c', c_custkey) AS id_plot", "IF(c_nationkey % 2 = 0, 'OUI', 'NON') AS AB", "'NON' AS filet",
+        "IF(c_custkey % 5 = 0, NULL, 'arrachee') AS valide_2022",
+    )
+    return [new, old.withColumn("exclu", F.lit(None).cast("string"))]
+
+
 def hedges(spark, d) -> DataFrame:
     rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"))
     rows = rows.crossJoin(F.broadcast(_height(spark, d))).selectExpr(
@@ -108,15 +135,18 @@ def _organic(spark, d) -> DataFrame:
     return p.organic_orchards(_orchards(spark, d), organic(spark, d))
 
 
-def _landscape(spark, d, r) -> DataFrame:
+def _tables(spark, d, radii) -> list[DataFrame]:
     at, cover = plots(spark, d), land_cover(spark, d)
-    return p.landscape_table(
-        p.land_cover_composition(at, cover, [r]),
-        p.net_composition(at, cover, p.normalise_nets(nets(spark, d)), [r]),
-        p.organic_share(at, _organic(spark, d), [r]),
-        p.hedge_length(at, hedges(spark, d), [r]),
-        r,
-    )
+    return [
+        p.land_cover_composition(at, cover, radii),
+        p.net_composition(at, cover, p.normalise_nets(nets(spark, d)), radii),
+        p.organic_share(at, _organic(spark, d), radii),
+        p.hedge_length(at, hedges(spark, d), radii),
+    ]
+
+
+def _landscape(spark, d, r) -> DataFrame:
+    return p.landscape_table(*_tables(spark, d, [r]), r)
 
 
 def _columns(names: str):
@@ -148,6 +178,21 @@ def queries() -> dict:
         "organic_share_500": lambda s, d: _rounded(p.organic_share(plots(s, d), _organic(s, d), [500])),
         "hedge_length_500": lambda s, d: _rounded(p.hedge_length(plots(s, d), hedges(s, d), [500])),
         "landscape_table_500": lambda s, d: _rounded(_landscape(s, d, 500)),
+        "netted_share_500": lambda s, d: _rounded(
+            p.netted_share(plots(s, d), land_cover(s, d), p.normalise_nets(nets(s, d)), [500])
+        ),
+        "semi_natural_share_500": lambda s, d: _rounded(p.semi_natural_share(plots(s, d), vegetation(s, d), [500])),
+        "multi_radius": lambda s, d: _rounded(p.multi_radius([
+            _landscape(s, d, r) for r in (250, 500, 1000)
+        ])),
+        "with_plot_info": lambda s, d: p.with_plot_info(
+            _rounded(p.land_cover_composition(plots(s, d), land_cover(s, d), [500])).select("id_plot", "urbain", "prairies"),
+            plot_info(s, d),
+        ),
+        "candidates_exclusion": lambda s, d: p.candidates(*candidate_layers(s, d)),
+        "histogram_urban": lambda s, d: p.histogram(
+            _rounded(p.land_cover_composition(plots(s, d), land_cover(s, d), [500])), "urbain", 5
+        ),
         "orchard_crosstab": lambda s, d: _rounded(p.orchard_crosstab(nets(s, d))),
         "update_land_cover_hits": lambda s, d: p.update_land_cover_hits(land_cover(s, d), plots(s, d)),
         "layer_profile": lambda s, d: _rounded(p.layer_profile(land_cover(s, d), hedges(s, d))),
@@ -222,10 +267,11 @@ lap AS (SELECT b.FID, sum(greatest(least(x1, x + 100) - greatest(x0, x), 0) * gr
 bio AS (SELECT FID, aire AS aire_plot, area_AB, area_AB / aire * 100 AS ratioABtot, 1 AS AB_cartobio
   FROM lap JOIN areas USING (FID) WHERE area_AB / aire * 100 > 50)"""
 
-_HEDGES = """
+def _hedges(r: int) -> str:
+    return f"""
 near_h AS (SELECT id_plot, id, a.x - p.x AS sx, a.y - p.y AS sy, dx, dy FROM plots p JOIN hedges a
-  ON a.x < p.x + 700 AND a.x > p.x - 700 AND a.y < p.y + 700 AND a.y > p.y - 700),
-planes AS (SELECT cos((i + 0.5) * pi() / 100) AS nx, sin((i + 0.5) * pi() / 100) AS ny, 500 * cos(pi() / 200) AS d FROM range(200) t(i)),
+  ON a.x < p.x + {r + 200} AND a.x > p.x - {r + 200} AND a.y < p.y + {r + 200} AND a.y > p.y - {r + 200}),
+planes AS (SELECT cos((i + 0.5) * pi() / 100) AS nx, sin((i + 0.5) * pi() / 100) AS ny, {r} * cos(pi() / 200) AS d FROM range(200) t(i)),
 clipped AS (SELECT id_plot, id, sqrt(dx * dx + dy * dy) AS len,
    greatest(0, max(CASE WHEN nx * dx + ny * dy < 0 THEN (d - nx * sx - ny * sy) / (nx * dx + ny * dy) END)) AS t0,
    least(1, min(CASE WHEN nx * dx + ny * dy > 0 THEN (d - nx * sx - ny * sy) / (nx * dx + ny * dy) END)) AS t1
@@ -267,18 +313,33 @@ def oracle_sql() -> dict[str, str]:
 base AS (SELECT FID, c3, size, x + 10 AS x, y + 10 AS y, 9 AS shape FROM cells WHERE FID % 3 <> 0 AND""").replace(
         "x + 100", "x + 80").replace("y + 100", "y + 80").replace("areas USING (FID)", "(SELECT FID, 6400.0::DOUBLE AS aire FROM cells) USING (FID)")
     kinds = [*p.NET_TYPES, "inconnu"]
+
+    def landscape(r: int) -> str:
+        columns = [
+            "area_tot_buffer", *[v for v in p.LAND_COVER.values() if v != "vergers"], "tot_vergers",
+            *[f"{k}_vergers" for k in p.NET_TYPES], *kinds, "pourcent_vergers", "percent_verger_bio", "nb_haies", "length_haies",
+        ]
+        return sql(
+            f"""SELECT id_plot, {", ".join(f"{c} AS {c}_buffer_{r}" for c in columns)}
+            FROM (SELECT * EXCLUDE (r) FROM comp) LEFT JOIN (SELECT * EXCLUDE (r) FROM net) USING (id_plot)
+            LEFT JOIN (SELECT id_plot, percent_verger_bio FROM share JOIN net USING (id_plot)) USING (id_plot)
+            LEFT JOIN (SELECT id_plot, nb_haies, round(length_haies, 3) AS length_haies FROM hedge JOIN net USING (id_plot)) USING (id_plot)""",
+            _composition(r), _nets(r), _ORGANIC, _share(r), _hedges(r),
+        )
+
+    nominal = f"({p.NOMINAL_DISC} * 500 * 500) * 100"
+    held = """netted AS (SELECT e.FID, a, b, v, w, 1 AS one FROM edges e JOIN nets n ON n.FID = e.FID
+        WHERE CAST(n.c3 AS VARCHAR) LIKE '1%' AND filet IN ('oui', 'mixte'))"""
+    natures = ", ".join(f"({i}, '{c}')" for i, c in enumerate(p.VEGETATION.values()))
+    green = f"""kinds(k, nature) AS (VALUES {natures}),
+        veg AS (SELECT nature, x + 20 AS a, x + 20 + size AS b, y + up AS v, w FROM cells JOIN kinds ON k = FID * 7 % 9,
+        (VALUES (0, -1), (40, 1)) t(up, w) WHERE size % 4 = 0)"""
+    parts = [f"coalesce(sum(CASE WHEN nature = '{c}' THEN area END), 0) / {nominal}" for c in p.SEMI_NATURAL]
     cross = ", ".join(
         f"count(CASE WHEN type_filet {(c := 'IS NULL' if k == 'inconnu' else f'= {k!r}')} THEN 1 END) AS n_{k}, "
         f"6400.0::DOUBLE * count(CASE WHEN type_filet {c} THEN 1 END) AS area_{k}"
         for k in kinds
     )
-    suffixed = ", ".join(
-        f'{c} AS {c}_buffer_500'
-        for c in [
-            "area_tot_buffer", *[v for v in p.LAND_COVER.values() if v != "vergers"], "tot_vergers",
-            *[f"{k}_vergers" for k in p.NET_TYPES], *kinds, "pourcent_vergers", "percent_verger_bio", "nb_haies", "length_haies",
-        ]
-    )
     found = {
         "polygon_area": sql("SELECT FID, aire AS area FROM areas"),
         "polygon_centroid": sql("""SELECT FID,
@@ -303,13 +364,34 @@ base AS (SELECT FID, c3, size, x + 10 AS x, y + 10 AS y, 9 AS shape FROM cells W
         "organic_share_500": sql("SELECT * FROM share", _ORGANIC, _share(500)),
         "hedge_length_500": sql(
             "SELECT id_plot, 500.0::DOUBLE AS r, nb_haies, round(length_haies, 3) AS length_haies FROM plots LEFT JOIN hedge USING (id_plot)",
-            _HEDGES,
+            _hedges(500),
         ),
-        "landscape_table_500": sql(
-            f"""SELECT id_plot, {suffixed} FROM (SELECT * EXCLUDE (r) FROM comp) LEFT JOIN (SELECT * EXCLUDE (r) FROM net) USING (id_plot)
-            LEFT JOIN (SELECT id_plot, percent_verger_bio FROM share JOIN net USING (id_plot)) USING (id_plot)
-            LEFT JOIN (SELECT id_plot, nb_haies, round(length_haies, 3) AS length_haies FROM hedge JOIN net USING (id_plot)) USING (id_plot)""",
-            _composition(500), _nets(500), _ORGANIC, _share(500), _HEDGES,
+        "landscape_table_500": landscape(500),
+        "netted_share_500": sql(
+            f"""SELECT id_plot, 500.0::DOUBLE AS r, round(vergers, 3) AS vergers, round(f, 3) AS area_filets,
+            round(f / {nominal}, 3) AS percent_verger_filet,
+            round(CASE WHEN f = 0 AND vergers = 0 THEN 0 WHEN vergers <> 0 THEN f / vergers * 100 END, 3) AS percent_of_orchards_with_nets
+            FROM (SELECT id_plot, coalesce(any_value(na.area), 0) AS f, coalesce(sum(CASE WHEN c1 = 1 THEN lc.area END), 0) AS vergers
+            FROM lc LEFT JOIN na USING (id_plot) GROUP BY id_plot)""",
+            _clip("lc", "edges", "c1", 500), held, _clip("na", "netted", "one", 500),
+        ),
+        "semi_natural_share_500": sql(
+            f"""SELECT id_plot, 500.0::DOUBLE AS r, {", ".join(f"round({x}, 3) AS percent_{c}" for c, x in zip(p.SEMI_NATURAL, parts))},
+            round({" + ".join(parts)}, 3) AS "percent_ESN" FROM va GROUP BY id_plot""",
+            green, _clip("va", "veg", "nature", 500),
+        ),
+        "multi_radius": f"""SELECT * FROM ({landscape(250)}) JOIN ({landscape(500)}) USING (id_plot) JOIN ({landscape(1000)}) USING (id_plot)""",
+        "with_plot_info": sql(
+            """SELECT CAST(s_suppkey + 3 AS VARCHAR) AS id_plot, urbain, prairies, s_name AS nom, 'oui' AS exclu_oiseaux
+            FROM supplier LEFT JOIN comp ON id_plot = CAST(s_suppkey + 3 AS VARCHAR) WHERE s_nationkey % 2 = 0""",
+            _composition(500),
+        ),
+        "candidates_exclusion": """SELECT CAST(s_suppkey AS VARCHAR) AS id_plot, 'OUI' AS AB, CASE WHEN s_nationkey % 3 <> 0 THEN 'NON' END AS filet,
+            CASE WHEN s_nationkey % 3 = 0 THEN 'oui' WHEN s_suppkey % 4 = 0 THEN 'non' ELSE 'Oiseaux' END AS exclu, 'ok' AS valide_2022 FROM supplier
+            UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'OUI' ELSE 'NON' END, 'NON', 'Oiseaux',
+            CASE WHEN c_custkey % 5 = 0 THEN 'ok' ELSE 'arrachee' END FROM customer""",
+        "histogram_urban": sql(
+            "SELECT CAST(ceil((urbain - 2.5) / 5) * 5 AS DOUBLE) AS middle, count(*) AS n FROM comp GROUP BY 1", _composition(500)
         ),
         "orchard_crosstab": sql(f"SELECT c3 AS Code_n3, {cross} FROM nets GROUP BY c3"),
         "update_land_cover_hits": sql("""SELECT FID, id_plot, c1 AS Code_n1, c3 AS Code_n3 FROM plots p JOIN cells c
