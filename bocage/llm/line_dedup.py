@@ -18,13 +18,18 @@ through a task in bounded memory.  Texts are shuffled only for lines that are ca
 
 Crowded band values.  Lines of a value with more than ``FEW`` lines are written down.  Where the
 links found so far leave such a value in one component, more links could not change it.  The
-lines of all other crowded values go through an exact join: lines with a similarity of t
-share one of their 1 + size - ceil(t * size) rarest shingles, so lines of different components that
-share one, with sizes and places that allow t, are candidates too.  So no link is lost to ``FEW``.
+lines of all other crowded values go through an exact join: in one order of all shingles, lines
+with a similarity of t share one of their first 1 + size - ceil(t * size), so lines of different
+components that share one, with sizes and places that allow t, are candidates too.  So no link is
+lost to ``FEW``.  The order puts rare shingles first, by counts of a fixed number of hash buckets.
+
+Shingles.  An ASCII shingle is its 8 bytes, any other a 63-bit hash; similarities are exact but for
+collisions of those.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +46,11 @@ BINS = BANDS * ROWS
 SIMILARITY = 0.8
 FEW = 8  # up to so many lines of a band value, all pairs are candidates; more make it crowded
 BACK = 4  # beyond, those with the first and the last so many lines
-CHUNK = 1 << 18  # characters hashed at once
+CHUNK = 1 << 16  # characters hashed at once
+BUCKETS = 1 << 18  # hash buckets of shingles, the bound of what is sent to the driver and back
 SEED = 42
 
+_TOP = np.uint64(1 << 63)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -64,32 +71,63 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return split.withColumn("line", normal(F.col("line"))).where("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
+def windows(text: str) -> np.ndarray:
+    """A number for each 8-character shingle of a text of 8 characters or more, in order.
+
+    An ASCII shingle is its 8 bytes, below 2^63; any other is a hash of 63 bits above that.
+    """
+    if text.isascii():
+        raw = text.encode()
+        return np.ndarray(len(raw) - SHINGLE + 1, "<u8", raw, 0, (1,)).copy()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = len(points) - SHINGLE + 1
+    found = np.ndarray(n, "<u8", points.astype(np.uint8).tobytes(), 0, (1,)).copy()
+    beyond = np.r_[0, np.cumsum(points > 127)]
+    other = np.flatnonzero(beyond[SHINGLE:] != beyond[:n])
+    h = np.zeros(len(other), dtype=np.uint64)
+    for i in range(SHINGLE):
+        h = h * _M1 + points[other + i]
+        h ^= h >> np.uint64(29)
+    found[other] = _mix(h, np.uint64(0)) | _TOP
+    return found
+
+
+def shingle_ids(line: str) -> np.ndarray:
+    """The distinct shingles of a line, sorted; a shorter line is its own."""
+    if len(line) < SHINGLE:
+        whole = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
+        return np.array([whole], dtype=np.uint64) | _TOP
+    found = windows(line)
+    found.sort()
+    return found[np.r_[True, found[1:] != found[:-1]]]
+
+
 def shingles(line: str) -> frozenset:
-    """All 8-character shingles; a shorter line is its own.  An ASCII shingle is told by its 8
-    bytes as a number."""
-    if len(line) >= SHINGLE and line.isascii():
-        raw = np.frombuffer(line.encode(), dtype=np.uint8)
-        return frozenset(np.lib.stride_tricks.sliding_window_view(raw, SHINGLE).copy().view("<u8").ravel().tolist())
-    found = {line[i : i + SHINGLE] for i in range(max(len(line) - SHINGLE + 1, 1))}
-    return frozenset(int.from_bytes(x.encode(), "little") if len(x) == SHINGLE and x.isascii() else x for x in found)
+    return frozenset(shingle_ids(line).tolist())
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many shingles two lines share."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """Keys of the bands, one row per line."""
     lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]  # so that it has one shingle
-    sizes = np.array([len(x) for x in lines])
-    rank = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4") + np.uint64(1)
-    h = 1
-    while h < SHINGLE:
-        rank = _mix(rank[: len(rank) - h], rank[h:])
-        h *= 2
-    line = np.repeat(np.arange(len(lines)), sizes)[: len(rank)]
-    last = np.cumsum(sizes)[line] - np.arange(len(rank))
-    inside = np.flatnonzero(last >= SHINGLE)  # shingles that end in their own line
-    rank, line = rank[inside], line[inside]
+    ends = np.cumsum([len(x) for x in lines])
+    found = windows("".join(lines))
+    inside = np.ones(len(found), dtype=bool)  # shingles that end in their own line
+    for i in range(1, SHINGLE):
+        inside[ends[:-1] - i] = False
+    counts = np.diff(np.r_[0, ends]) - SHINGLE + 1
+    rank = _mix(found[inside], np.uint64(SEED))
+    slot = ((rank >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).view(np.int64)
+    slot += np.repeat(np.arange(len(lines)) * BINS, counts)
     none = ~np.uint64(0)
     bins = np.full(len(lines) * BINS, none)
-    np.minimum.at(bins, line * BINS + (rank % np.uint64(BINS)).astype(np.int64), rank)
+    np.minimum.at(bins, slot, rank)
     bins = bins.reshape(len(lines), BINS)
     filled = bins.copy()
     for j in range(BINS):
@@ -193,16 +231,57 @@ def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, members
 
 
-def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per shingle of a line, with the number of its shingles; a batch holds few lines."""
-    for frame in frames:
-        for id_, line in zip(frame["id"], frame["line"]):
-            found = {x if isinstance(x, int) else xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in shingles(line)}
-            tokens = np.array(sorted(found), dtype=np.int64)
-            yield pd.DataFrame({"id": np.full(len(tokens), id_), "token": tokens, "size": len(tokens)})
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (_mix(tokens, np.uint64(SEED)) % np.uint64(BUCKETS)).astype(np.int64)
+
 
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of the lines fall into each of the ``BUCKETS`` hash buckets."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(BUCKETS, dtype=np.int64)
+        for frame in frames:
+            for line in frame["line"]:
+                np.add.at(n, _bucket(shingle_ids(line)), 1)
+        bucket = np.flatnonzero(n)
+        yield pd.DataFrame({"bucket": bucket, "n": n[bucket]})
 
-def crowded_candidates(lines: DataFrame, members: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    found = texts.select("line").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = found.toPandas()  # at most BUCKETS rows
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return counts
+
+
+def rare_shingles(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``id, root, size, place, token`` of ``id, root, line``: of every line the first shingles in
+    one order of all shingles, so many that lines with the similarity share one.
+
+    Shingles of thinly filled buckets come first.  Any fixed order is exact; this one keeps
+    shingles that very many lines have out of the way.  A shingle alone in its bucket is in
+    no other line: it takes up a place and is left out.
+    """
+    counts = bucket_counts(texts)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 50):  # shingles of few lines at a time
+                some, held = frame.iloc[at : at + 50], []
+                for row, line in enumerate(some["line"]):
+                    tokens = shingle_ids(line)
+                    size = len(tokens)
+                    n = counts[_bucket(tokens)]
+                    first = np.lexsort((tokens, n))[: size - math.ceil(size * similarity - 1e-9) + 1]
+                    place = np.flatnonzero(n[first] > 1)
+                    held.append((np.full(len(place), row), np.full(len(place), size), place, tokens[first[place]].view(np.int64)))
+                row, size, place, token = (np.concatenate(x) for x in zip(*held))
+                own = {c: some[c].to_numpy()[row] for c in ("id", "root")}
+                yield pd.DataFrame(own | {"size": size, "place": place, "token": token})
+
+    return texts.select("id", "root", "line").mapInPandas(run, "id long, root long, size long, place long, token long")
+
+
+def crowded_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs ``a < b`` that may link different components inside crowded band values.
 
     Exact: every pair of such lines with at least ``similarity`` is among them.
@@ -212,17 +291,7 @@ def crowded_candidates(lines: DataFrame, members: DataFrame, roots: DataFrame, s
     spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     spread = saved(spread.select("key"), "spread")
     open_ = saved(placed.join(small(spread), "key", "left_semi").select("id", "root").distinct(), "open-lines")
-    texts = lines.select("id", "line").join(small(open_), "id", "left_semi").dropDuplicates(["id"])
-    tokens = saved(texts.mapInPandas(_tokens, "id long, token long, size long"), "tokens")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # shingles from the rarest on; those that a line has alone only take up places
-    ranked = tokens.join(counts, "token").groupBy("id").agg(
-        F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked")
-    )
-    reach = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
-    rare = ranked.select("id", "size", F.posexplode(F.slice("ranked", F.lit(1), reach)).alias("place", "token"))
-    rare = rare.where("token.n > 1").join(open_, "id").select("id", "root", "size", "place", F.col("token.token").alias("token"))
-    rare = saved(rare, "rare-shingles")
+    rare = saved(rare_shingles(texts.join(small(open_), "id"), similarity), "rare-shingles")
     x, y = rare.alias("x"), rare.alias("y")
     share = similarity / (1 + similarity)
     most = F.least(F.expr("x.size - x.place"), F.expr("y.size - y.place"))  # can be shared from here on
@@ -238,57 +307,68 @@ def crowded_candidates(lines: DataFrame, members: DataFrame, roots: DataFrame, s
     )
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose lines have an exact Jaccard similarity of at least ``similarity``."""
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose lines have an exact Jaccard similarity of at least ``similarity``; texts
+    has ``id, line``, once per id."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, sets = None, frozenset()
+        own, mine = None, np.zeros(0, dtype=np.uint64)
         for frame in frames:
             keep = []
             for a, b, line in zip(frame["a"], frame["b"], frame["line"]):
+                other = shingle_ids(line)
                 if a == b:
-                    own, sets = a, shingles(line)
+                    own, mine = a, other
                     keep.append(False)
-                else:
-                    other = shingles(line)
-                    # the smaller set bounds what both can share
-                    both = len(sets & other) if similarity * max(len(sets), len(other)) <= min(len(sets), len(other)) else 0
-                    keep.append(own == a and both >= similarity * (len(sets) + len(other) - both))
+                    continue
+                # the smaller set bounds what both can share
+                low, high = sorted((len(mine), len(other)))
+                both = shared(mine, other) if own == a and low >= similarity * high else 0
+                keep.append(own == a and both >= similarity * (low + high - both))
             yield frame.loc[keep, ["a", "b"]]
 
     ends = pairs.union(pairs.select("a", F.col("a").alias("b")).distinct())
-    wanted = saved(ends.select(F.col("b").alias("id")).distinct(), "candidate-lines")
-    texts = lines.select("id", "line").join(small(wanted), "id", "left_semi").dropDuplicates(["id"])
-    met = ends.join(texts.withColumnRenamed("id", "b"), "b")
     # every line `a` comes first, then the lines it is compared with, one at a time
     return (
-        met.select("a", "b", "line", (F.col("a") != F.col("b")).alias("other"))
+        ends.join(texts.withColumnRenamed("id", "b"), "b")
+        .select("a", "b", "line", (F.col("a") != F.col("b")).alias("other"))
         .repartition("a")
         .sortWithinPartitions("a", "other")
         .mapInPandas(run, "a long, b long")
     )
 
 
+def joined_by(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, root`` after further links: only the roots that these touch are united anew."""
+    top = roots.withColumnRenamed("id", "end").withColumnRenamed("root", "top")
+    for end in ("a", "b"):
+        links = links.join(top.withColumnRenamed("end", end), end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
+    moved = components(links, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    # a line without links so far is its own root
+    every = roots.unionByName(moved.join(roots, "root", "left_anti").select(F.col("root").alias("id"), "root"))
+    return saved(every.join(moved, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "joined")
+
+
 def removed_lines(rows: DataFrame) -> DataFrame:
     """For unique keyed rows: ``doc, print, gone``, the numbers of the lines that go."""
     lines = lines_of(rows)
     pairs, members = candidates(lines)
     pairs = saved(pairs, "candidates")
-    links = saved(verified(pairs, lines), "links")
+    wanted = pairs.select("a").union(pairs.select("b")).union(members.select("id")).toDF("id").distinct()
+    texts = lines.select("id", "line").join(small(saved(wanted, "candidate-lines")), "id", "left_semi")
+    texts = saved(texts.dropDuplicates(["id"]), "texts")
+    links = saved(verified(pairs, texts), "links")
     roots = components(links, "a", "b").withColumnRenamed("node", "id")
-    further = saved(crowded_candidates(lines, members, roots).join(pairs, ["a", "b"], "left_anti"), "further")
-    found = saved(verified(further, lines), "further-links")
+    further = saved(crowded_candidates(texts, members, roots).join(pairs, ["a", "b"], "left_anti"), "further")
+    found = saved(verified(further, texts), "further-links")
     if not found.isEmpty():
-        roots = components(links.union(found), "a", "b").withColumnRenamed("node", "id")
+        roots = joined_by(roots, found)
     places = saved(lines.select("doc", "print", "line_no", "id"), "places").join(small(roots), "id", "left")
     places = places.select(F.coalesce("root", "id").alias("root"), F.struct("doc", "print", "line_no").alias("place"))
-    firsts = (
-        places.groupBy("root")
-        .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("root", "first")
-    )
-    gone = places.join(saved(firsts, "firsts"), "root").where("place <> first")
+    many = places.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    many = saved(places.join(small(saved(many, "repeated")), "root", "left_semi"), "repeats")
+    firsts = many.groupBy("root").agg(F.min("place").alias("first"))
+    gone = many.join(saved(firsts, "firsts"), "root").where("place <> first")
     return gone.groupBy("place.doc", "place.print").agg(F.array_sort(F.collect_list("place.line_no")).alias("gone"))
 
 
