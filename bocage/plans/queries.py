@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..operators import spatial_join, tables
 from . import landscape as p
 
 # --- layers ---------------------------------------------------------------------------
@@ -49,13 +50,17 @@ def nets(spark, d) -> DataFrame:
     )
 
 
-def organic(spark, d) -> DataFrame:
+def parcels(spark, d) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     return _cells(spark, d).where("FID % 3 <> 1").select(
-        g.rectangle(x + 35, y + 5, x + 65 + (F.col("size") % 5) * 15, y + 95).alias("geometry")
+        F.col("FID").alias("id"), g.rectangle(x + 35, y + 5, x + 65 + (F.col("size") % 5) * 15, y + 95).alias("geometry")
     )
 
 
+def organic(spark, d) -> DataFrame:
+    return parcels(spark, d).select("geometry")
+
+
 def _plot_rows(spark, d) -> DataFrame:
     rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
     return rows.crossJoin(F.broadcast(_height(spark, d))).selectExpr(
@@ -195,6 +200,18 @@ def queries() -> dict:
         ),
         "orchard_crosstab": lambda s, d: _rounded(p.orchard_crosstab(nets(s, d))),
         "update_land_cover_hits": lambda s, d: p.update_land_cover_hits(land_cover(s, d), plots(s, d)),
+        "join_points_in_polygons": lambda s, d: spatial_join.join_points(
+            land_cover(s, d), plots(s, d), "FID", "id_plot"
+        ).select("FID", "Code_n3", "id_plot"),
+        "join_polygons_intersecting": lambda s, d: spatial_join.join_polygons(
+            nets(s, d), parcels(s, d), "FID", "id"
+        ).select("FID", "filet", "id"),
+        "count_and_area": lambda s, d: _rounded(tables.count_and_sum(
+            land_cover(s, d).withColumn("area", g.area("geometry")), ["Code_n3"], "area", "area"
+        )),
+        "layer_totals": lambda s, d: _rounded(tables.count_and_sum(
+            hedges(s, d).withColumn("length", g.length("geometry")), [], "length", "length", "n"
+        )),
         "layer_profile": lambda s, d: _rounded(p.layer_profile(land_cover(s, d), hedges(s, d))),
         "landscape_correlations": lambda s, d: _rounded(
             p.pearson_test(p.land_cover_composition(plots(s, d), land_cover(s, d), [500]), "urbain", "prairies"), 6
@@ -397,6 +414,14 @@ base AS (SELECT FID, c3, size, x + 10 AS x, y + 10 AS y, 9 AS shape FROM cells W
         "update_land_cover_hits": sql("""SELECT FID, id_plot, c1 AS Code_n1, c3 AS Code_n3 FROM plots p JOIN cells c
             ON p.x BETWEEN c.x AND c.x + 100 AND p.y BETWEEN c.y AND c.y + 100 WHERE NOT (FID % 4 = 0 AND p.x > c.x + 50 AND p.y > c.y + 50)
             AND NOT (FID % 4 = 1 AND p.x > c.x + 30 AND p.x < c.x + 60 AND p.y > c.y + 30 AND p.y < c.y + 60)"""),
+        "join_points_in_polygons": sql("""SELECT c.FID, c3 AS Code_n3, id_plot FROM cells c LEFT JOIN plots p
+            ON p.x BETWEEN c.x AND c.x + 100 AND p.y BETWEEN c.y AND c.y + 100 AND NOT (FID % 4 = 0 AND p.x > c.x + 50 AND p.y > c.y + 50)
+            AND NOT (FID % 4 = 1 AND p.x > c.x + 30 AND p.x < c.x + 60 AND p.y > c.y + 30 AND p.y < c.y + 60)"""),
+        "join_polygons_intersecting": sql("""SELECT n.FID, filet, o.FID AS id FROM nets n JOIN cells c ON c.FID = n.FID
+            LEFT JOIN cells o ON o.FID % 3 <> 1 AND o.x + 35 <= c.x + 90 AND o.x + 65 + (o.size % 5) * 15 >= c.x + 10
+            AND o.y + 5 <= c.y + 90 AND o.y + 95 >= c.y + 10"""),
+        "count_and_area": sql("SELECT c3 AS Code_n3, count(*) AS poly_n, sum(aire) AS area FROM cells JOIN areas USING (FID) GROUP BY c3"),
+        "layer_totals": sql("SELECT count(*) AS n, round(sum(sqrt(dx * dx + dy * dy)), 3) AS length FROM hedges"),
         "layer_profile": sql("""SELECT 'class ' || c1 AS what, CAST(count(*) AS DOUBLE) AS value FROM cells GROUP BY c1
             UNION ALL SELECT 'hedge km', round(sum(sqrt(dx * dx + dy * dy)) / 1000, 3) FROM hedges"""),
         "landscape_correlations": sql(
