@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,32 +89,37 @@ def unique_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-def with_row_number(df: DataFrame, order: list[str], name: str = "id", buckets: int = 64) -> DataFrame:
-    """1, 2, 3 … in the given order (which must be unique), without sorting in one task.
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder; a temporary one only where none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bocage-"))
+    return df.checkpoint()
 
-    Rows are split into ranges of the first order column, numbered inside their range, and
-    shifted by the number of rows in earlier ranges; only one count per range is small and
-    goes through a single window.
+
+def with_row_number(df: DataFrame, order: list[str], name: str = "id", buckets: int | None = None) -> DataFrame:
+    """1, 2, 3 … in the given order (which must be unique; NULL first), without sorting in one task.
+
+    Rows are dealt by ranges of all order columns, at quantiles that Spark samples, so that neither
+    an outlier nor a frequent value fills one task.  They are numbered inside their range and
+    shifted by the rows of earlier ranges.  The ranges are written down, so that both
+    passes see the same ones, also after a lost executor.
     """
-    first = order[0]
-    bounds = df.agg(F.min(first).alias("_lo"), F.max(first).alias("_hi"))
-    lo, hi = bounds.select("_lo").scalar(), bounds.select("_hi").scalar()
-    width = F.greatest((hi - lo) / F.lit(float(buckets)), F.lit(1e-9))
-    numbered = df.withColumn(
-        "_b", F.coalesce(F.least(F.floor((F.col(first) - lo) / width), F.lit(buckets - 1)), F.lit(-1))
-    )
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # partition in the upper bits, then the row in it
+    held = _checkpointed(ranged.withColumn("_at", place))
+    numbered = held.select("*", F.shiftright("_at", 33).alias("_b"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_i"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
         numbered.groupBy("_b")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy("_b").orderBy(*order)
     return (
-        numbered.withColumn("_i", F.row_number().over(inside))
-        .join(F.broadcast(shift), "_b")  # at most ``buckets`` + 1 rows
-        .withColumn(name, F.col("_before") + F.col("_i"))
-        .drop("_b", "_i", "_before")
+        numbered.join(F.broadcast(shift), "_b")  # at most ``buckets`` rows
+        .withColumn(name, F.col("_before") + F.col("_i") + 1)
+        .drop("_at", "_b", "_i", "_before")
     )
 
 

@@ -209,6 +209,9 @@ def queries() -> dict:
         "count_and_area": lambda s, d: _rounded(tables.count_and_sum(
             land_cover(s, d).withColumn("area", g.area("geometry")), ["Code_n3"], "area", "area"
         )),
+        "row_number": lambda s, d: tables.with_row_number(
+            land_cover(s, d).select("FID", "Code_n3"), ["Code_n3", "FID"], "no"
+        ),
         "layer_totals": lambda s, d: _rounded(tables.count_and_sum(
             hedges(s, d).withColumn("length", g.length("geometry")), [], "length", "length", "n"
         )),
@@ -421,6 +424,7 @@ base AS (SELECT FID, c3, size, x + 10 AS x, y + 10 AS y, 9 AS shape FROM cells W
             LEFT JOIN cells o ON o.FID % 3 <> 1 AND o.x + 35 <= c.x + 90 AND o.x + 65 + (o.size % 5) * 15 >= c.x + 10
             AND o.y + 5 <= c.y + 90 AND o.y + 95 >= c.y + 10"""),
         "count_and_area": sql("SELECT c3 AS Code_n3, count(*) AS poly_n, sum(aire) AS area FROM cells JOIN areas USING (FID) GROUP BY c3"),
+        "row_number": sql("SELECT FID, c3 AS Code_n3, row_number() OVER (ORDER BY c3, FID) AS no FROM cells"),
         "layer_totals": sql("SELECT count(*) AS n, round(sum(sqrt(dx * dx + dy * dy)), 3) AS length FROM hedges"),
         "layer_profile": sql("""SELECT 'class ' || c1 AS what, CAST(count(*) AS DOUBLE) AS value FROM cells GROUP BY c1
             UNION ALL SELECT 'hedge km', round(sum(sqrt(dx * dx + dy * dy)) / 1000, 3) FROM hedges"""),
