@@ -1,16 +1,16 @@
 """Quality rules for documents: plain counts, and bands of perplexity per language.
 
-Method.  A modified Kneser-Ney model of order ``ORDER`` over characters.  Characters are
-folded into 64 classes, so that an n-gram is a 24-bit key: its hash is exact, and the model
-has at most 64^4 entries however large the corpus, which bounds what is broadcast.  Spark
-counts the n-grams of all whole texts; the driver derives from these counts the continuation
-counts, discounts and weights of every order and keeps them as sorted key arrays.  A second
-pass scores every document.  Per language, documents whose mean log perplexity lies more
-than ``width`` robust deviations below or above the median of that language are rejected;
-median and deviation are taken over all documents of the language that pass the counts.
-
-Scale.  Two scans; the first sends one row per distinct n-gram and task, the second one row
-per document.  No text is shuffled.
+Method.  A modified Kneser-Ney model of three words.  A word is named by a 64-bit hash, the
+two words before a text's first one are edges.  Spark counts the n-grams of all whole texts,
+and derives from these counts the continuation counts, discounts and weights of every order
+and the log probability of every n-gram seen; the n-grams of the documents are joined to it.
+Per language, documents whose mean log perplexity lies more than ``width`` robust deviations
+below or above the median of that language are rejected; median and deviation are taken over
+all documents of the language that pass the counts.
+
+Scale.  The model is a table of one row per distinct n-gram, which grows with the texts and
+is never gathered or broadcast; all that reaches the driver are counts of counts.  Words go
+through the shuffle as hashes, once for the counts and once for the scores.
 """
 
 from __future__ import annotations
@@ -20,16 +20,16 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small
 
-ORDER = 4
-BITS = 6
+ORDER, BITS = 4, 6  # of the character model, which only a test still asks for
 WIDTH = 8.0  # robust deviations on either side of the median
 LEAST_SPREAD = 0.02  # of log perplexity; languages of equal texts keep a band
-CHUNK = 1 << 20  # characters counted at once
+UNITS = 1e9  # parts of a log probability that are summed, as whole numbers: order does not matter
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -57,34 +57,11 @@ def gram_keys(text: str) -> np.ndarray:
     return keys
 
 
-def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``gram, n`` over all texts."""
-
-    def merged(parts: list[tuple]) -> tuple:
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: list[tuple] = []
-        held: list[np.ndarray] = []
-        size = 0
-        for frame in frames:
-            for t in frame["text"]:
-                held.append(gram_keys(t))
-                size += len(t)
-                if size >= CHUNK:
-                    parts.append(np.unique(np.concatenate(held), return_counts=True))
-                    held, size = [], 0
-                    if len(parts) == 16:
-                        parts = [merged(parts)]
-        if size:
-            parts.append(np.unique(np.concatenate(held), return_counts=True))
-        if parts:
-            keys, n = merged(parts)
-            yield pd.DataFrame({"gram": keys.astype(np.int32), "n": n})
-
-    found = docs.select(F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    return found.mapInPandas(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def discounts(of: list[int]) -> list[float]:
+    """What modified Kneser-Ney takes from counts of 0, 1, 2 and more; ``of``: how many
+    n-grams have the counts 1 to 4."""
+    y = of[0] / max(of[0] + 2 * of[1], 1)
+    return [0.0] + [min(max(i - (i + 1) * y * of[i] / max(of[i - 1], 1), 0.1 * i), 0.9 * i) for i in (1, 2, 3)]
 
 
 def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, ...]]:
@@ -93,11 +70,7 @@ def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, .
     levels = []
     for order in range(ORDER, 0, -1):
         of = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-        y = of[0] / max(of[0] + 2 * of[1], 1)
-        cuts = np.array(
-            [0.0] + [min(max(i - (i + 1) * y * of[i] / max(of[i - 1], 1), 0.1 * i), 0.9 * i) for i in (1, 2, 3)]
-        )
-        cut = cuts[np.minimum(counts, 3)]
+        cut = np.array(discounts(of))[np.minimum(counts, 3)]
         contexts, at = np.unique(keys >> BITS, return_inverse=True)
         total = np.bincount(at, weights=counts)
         levels.append((keys, (counts - cut) / total[at], contexts, np.bincount(at, weights=cut) / total))
@@ -145,32 +118,95 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """The words of a text as 64-bit hashes; words as in ``base_counts``."""
+    known: dict[bytes, int] = {}
+    out = []
+    for w in (text or "").encode("utf-8", "surrogatepass").split():
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh64_intdigest(w)
+        out.append(h)
+    return np.array(out, dtype=np.uint64).view(np.int64)
+
+
+def word_grams(words: DataFrame) -> DataFrame:
+    """``row, a, b, c`` per word c of ``row, words``; a and b are the words before, or 0."""
+    edge = lambda n: F.concat(F.array(*[F.lit(0).cast("long")] * n), "words")
+    zipped = F.arrays_zip(edge(2).alias("a"), edge(1).alias("b"), F.col("words").alias("c"))
+    return words.select("row", F.inline(F.slice(zipped, F.lit(1), F.size("words"))).alias("a", "b", "c"))
+
+
+def _discounted(counts: DataFrame, n: str) -> tuple[list[float], Column]:
+    found = {r[0]: r[1] for r in counts.groupBy(F.least(n, F.lit(5))).count().collect()}  # at most 5 rows
+    cuts = discounts([found.get(i, 0) for i in (1, 2, 3, 4)])
+    return cuts, F.col(n) - F.element_at(F.array(*map(F.lit, cuts[1:])), F.least(n, F.lit(3)).cast("int"))
+
+
+def _contexts(counts: DataFrame, n: str, cuts: list[float], *by: str) -> DataFrame:
+    """Per context its total and the weight of the lower order in it."""
+    of = [F.count_if(F.col(n) == i) for i in (1, 2)] + [F.count_if(F.col(n) >= 3)]
+    taken = sum((c * cut for c, cut in zip(of, cuts[1:])), F.lit(0.0))
+    return counts.groupBy(*by).agg(F.sum(n).alias("total"), (taken / F.sum(n)).alias("weight"))
+
+
+def word_model(grams: DataFrame) -> DataFrame:
+    """``a, b, c, p``: interpolated modified Kneser-Ney probability of every n-gram seen."""
+    three = saved(grams.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "three")
+    # lower orders count the different words before an n-gram
+    two = saved(three.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "two")
+    one = saved(two.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "one")
+    cuts, rest = _discounted(one, "n")
+    whole = _contexts(one, "n", cuts).crossJoin(one.agg(F.count(F.lit(1)).alias("kinds"))).first()
+    low = one.select("c", (rest / F.lit(whole.total) + F.lit(whole.weight) / F.lit(whole.kinds)).alias("p"))
+    cuts, rest = _discounted(two, "n")
+    middle = two.join(_contexts(two, "n", cuts, "b"), "b").join(low, "c").select(
+        "b", "c", (rest / F.col("total") + F.col("weight") * F.col("p")).alias("p")
+    )
+    cuts, rest = _discounted(three, "n")
+    return three.join(_contexts(three, "n", cuts, "a", "b"), ["a", "b"]).join(middle, ["b", "c"]).select(
+        "a", "b", "c", (rest / F.col("total") + F.col("weight") * F.col("p")).alias("p")
+    )
+
+
+def losses(words: DataFrame) -> DataFrame:
+    """``row, loss``: minus the log probabilities of a row's words, summed."""
+    grams = word_grams(words)
+    key = F.xxhash64("a", "b", "c").alias("key")  # a third of the words themselves
+    loss = F.round(-F.log("p") * UNITS).cast("long").alias("loss")
+    model = saved(word_model(grams).select(key, loss), "model")
+    asked = grams.select("row", key)
+    return asked.join(model, "key").groupBy("row").agg((F.sum("loss") / UNITS).alias("loss"))
+
+
 def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", width: float = WIDTH) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``kept``, ``log_perplexity``.
 
-    Null or empty text: no words, base_failed.  Null lang: a language of its own.  Repeated
+    log_perplexity is the mean over words; null where there are none.  Null or empty text: no
+    words, base_failed.  Null lang: a language of its own.  Repeated
     rows and ids: each row is judged.  Empty table: no rows.  Other columns are not read.
     """
-    found = gram_counts(docs, text).toPandas().sort_values("gram")  # at most 64^ORDER rows
-    model = kneser_ney(found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
-    stored = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = log_probabilities(stored.value)
+        names = [c.split()[0] for c in BASE.split(", ")]
         for frame in frames:
-            rows = [base_counts(t) for t in frame["text"]]
-            loss = [-float(table[gram_keys(t)].mean(dtype=np.float64)) if t else None for t in frame["text"]]
-            names = [c.split()[0] for c in BASE.split(", ")]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.assign(doc_id=frame["doc_id"].astype("Int64"), lang=frame["lang"], log_perplexity=loss)[
-                ["doc_id", "lang", *names, "log_perplexity"]
-            ]
+            for at in range(0, len(frame), 500):  # words of few documents at a time
+                some = frame.iloc[at : at + 500].reset_index(drop=True)
+                out = pd.DataFrame([base_counts(t) for t in some["text"]], columns=names)
+                yield out.assign(
+                    row=some["row"], doc_id=some["doc_id"].astype("Int64"), lang=some["lang"],
+                    words=[word_hashes(t) for t in some["text"]],
+                )[["row", "doc_id", "lang", *names, "words"]]
 
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"),
-        F.col(text).cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"),
+    )
+    words = saved(rows.mapInPandas(run, f"row long, doc_id long, lang string, {BASE}, words array<long>"), "words")
+    counted = (
+        words.drop("words").join(losses(words.select("row", "words")), "row", "left")
+        .withColumn("log_perplexity", F.col("loss") / F.col("n_words")).drop("row", "loss")
     )
-    counted = rows.mapInPandas(run, f"doc_id long, lang string, {BASE}, log_perplexity double")
     own = saved(
         counted.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")), "rules"
     )

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -287,6 +288,48 @@ def test_quality_rules(docs, rows, nothing):
     assert quality_rules.judged(nothing).isEmpty()
 
 
+def test_word_model_by_brute_force(spark):
+    """Every probability from plain counts; over all followers of a context they sum to 1."""
+    rng = random.Random(8)
+    texts = [_prose(rng, 60) for _ in range(20)] + ["слово за словом в строке", "λόγος 日本 word", ""]
+    rows = [(i, quality_rules.word_hashes(t).tolist()) for i, t in enumerate(texts)]
+    words = spark.createDataFrame(rows, "row long, words array<long>").repartition(3)
+    padded = [[0, 0, *w] for _, w in rows]
+    counts = [Counter(tuple(w[i : i + 3]) for w in padded for i in range(len(w) - 2))]
+    for _ in range(2):
+        counts.append(Counter(k[1:] for k in counts[-1]))
+
+    def probability(key, level):
+        if level == 3:
+            return 1 / len(counts[2])
+        same = {k: n for k, n in counts[level].items() if k[:-1] == key[:-1]}
+        cuts = quality_rules.discounts([sum(n == i for n in counts[level].values()) for i in (1, 2, 3, 4)])
+        cut = {k: cuts[min(n, 3)] for k, n in same.items()}
+        total = sum(same.values())
+        return (same.get(key, 0) - cut.get(key, 0)) / total + sum(cut.values()) / total * probability(key[1:], level + 1)
+
+    grams = quality_rules.word_grams(words)
+    got = {(r.a, r.b, r.c): r.p for r in quality_rules.word_model(grams).collect()}
+    assert got == pytest.approx({k: probability(k, 0) for k in counts[0]})
+    a, b, _ = next(iter(got))
+    assert sum(probability((a, b, c), 0) for (c,) in counts[2]) == pytest.approx(1)
+    want = {i: -sum(np.log(got[tuple(w[k : k + 3])]) for k in range(len(w) - 2)) for i, w in enumerate(padded) if w[2:]}
+    assert {r.row: r.loss for r in quality_rules.losses(words).collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_words_in_senseless_order_and_other_scripts_are_seen(spark):
+    """The same words in another order, and in a script beyond ASCII, stand out."""
+    rng = random.Random(4)
+    for kinds in (WORDS, "слово за строк вод мир дом лес кот пёс сад".split()):
+        phrases = [" ".join(rng.choice(kinds) for _ in range(6)) for _ in range(12)]
+        texts = [" ".join(rng.choice(phrases) for _ in range(20)) for _ in range(40)]
+        mixed = texts[0].split()
+        rng.shuffle(mixed)
+        rows = [(i, t, "en") for i, t in enumerate([*texts[1:], " ".join(mixed)])]
+        got = {r.doc_id: r.log_perplexity for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        assert got.pop(39) > 1.3 * max(got.values())
+
+
 def test_license_scan(spark, docs, nothing):
     mit = license_scan.KNOWN["MIT"][0]
     texts = [mit, "Copyright (c) 2020 A. Writer\n" + mit.upper(), mit.replace("sublicense", "sub-licence"), mit + " plus", None, "", "é"]
