@@ -9,6 +9,11 @@ whole bitmaps, three bitmaps into two.  The k-th largest sum is then found from
 significant slice downward.  What was cut off bounds the error of a sum, so rows within that
 bound of the k-th sum are kept, and only these boundary rows are scored exactly.
 
+Vectors with components so large that a 64-bit sum could overflow stay outside the index.
+They are scored against each query, and such queries against each vector, in floating point
+with a bound of its error; rows within that bound of the k-th are scored in whole numbers of
+any length.
+
 Scale.  Queries are taken in blocks of about ``QUERY_ROWS``, so what a task holds of them is
 bounded; all vectors pass in blocks of ``BLOCK_ROWS`` for each block of queries.  A block
 returns at most k rows per query (exact within the block), which are merged by rank.
@@ -16,7 +21,7 @@ returns at most k rows per query (exact within the block), which are merged by r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +35,7 @@ DROP = 4  # low bits of a component outside the index
 COARSE = 2  # low bits of a query weight outside the index
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 2_048
-LARGEST = 1 << 30
+LARGEST = 1 << 30  # components of the index stay below, and sums of products below its square times 4
 
 
 def _signed_digits(w: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -145,23 +150,65 @@ class BitSlices:
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``vec_id, value`` (array<int>): floor(1024 x); rows that take no part are left out."""
-    scaled = F.transform(F.col(embedding).cast("array<double>"), lambda x: F.floor(x * SCALE))
-    fits = F.forall(
-        F.col(embedding).cast("array<double>"),
-        lambda x: F.coalesce(F.abs(x) < float(LARGEST // SCALE), F.lit(False)),  # NaN sorts above all numbers
-    )
-    return (
-        vectors.where(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull() & fits)
-        .select(F.col(vec_id).cast("long").alias("vec_id"), scaled.cast("array<int>").alias("value"))
-    )
+    """``vec_id, width, value, raw``; rows that take no part are left out.  value (array<int>):
+    floor(1024 x); null if that is beyond the index, and then raw (array<double>) has x."""
+    x = F.col(embedding).cast("array<double>")
+    finite = F.forall(x, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))  # NaN sorts above all numbers
+    limit = F.least(F.lit(float(LARGEST)), 2 * LARGEST / F.sqrt(F.size(x))) / SCALE - 1
+    fits = F.forall(x, lambda x: F.abs(x) < limit)
+    scaled = F.transform(x, lambda x: F.floor(x * SCALE)).cast("array<int>")
+    return vectors.where(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull() & finite).select(
+        F.col(vec_id).cast("long").alias("vec_id"), F.size(x).alias("width"),
+        F.when(fits, scaled).alias("value"), F.when(~fits, x).alias("raw"),
+    )
+
+
+def _floored(raw: np.ndarray) -> np.ndarray:
+    """floor(1024 x) as doubles; infinite where that is beyond them."""
+    with np.errstate(over="ignore"):
+        return np.floor(np.asarray(raw, dtype=np.float64) * SCALE)
+
+
+def _whole(value, raw) -> list[int]:
+    """floor(1024 x) as Python integers; of a double above 2^53 all digits are whole."""
+    if raw is None:
+        return [int(x) for x in value]
+    return [int(x) * SCALE if abs(x) > 2.0**53 else int(np.floor(x * SCALE)) for x in raw]
+
+
+def wide_top(
+    ids: np.ndarray, rows: np.ndarray, whole: Callable, query_id: int, query: list[int], k: int
+) -> list[tuple[int, int]]:
+    """(id, exact score) of the k best rows but the query's own, ties to smaller ids.  ``rows``:
+    the floored components as doubles; ``whole(i)``: those of row i as integers."""
+    some = np.flatnonzero(ids != query_id)
+    if len(some) > k:
+        with np.errstate(all="ignore"):
+            q = np.array([float(x) if abs(x) < 1 << 1023 else np.inf for x in query])
+            about = rows[some] @ q
+            # each product and each partial sum is rounded once
+            error = (np.abs(rows[some]) @ np.abs(q)) * (2.0**-51 * (len(q) + 2))
+            if np.isfinite(about).all() and np.isfinite(error).all():
+                least = np.partition(about - error, -k)[-k]
+                some = some[about + error >= least]
+    scores = [(int(ids[i]), sum(a * b for a, b in zip(whole(i), query))) for i in some]
+    return sorted(scores, key=lambda r: (-r[1], r[0]))[:k]
+
+
+def ordered(score: int) -> tuple[int | None, int, bytes | None]:
+    """score, beyond, wide: columns that sort as the score does; score is None beyond 64 bits."""
+    if -(1 << 63) <= score < 1 << 63:
+        return score, 0, None
+    size = (abs(score).bit_length() + 7) // 8
+    raw = abs(score).to_bytes(size, "big")
+    return (None, size, raw) if score > 0 else (None, -size, bytes(255 - b for b in raw))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score`` for quantised queries against quantised vectors.
 
-    Left out: null id or embedding; null, NaN or infinite components, or such of 2^20 and
-    more.  A query sees vectors of its own length only, and no row with its own id.  Rows
+    Left out: null id or embedding; null, NaN or infinite components.  A score beyond 64 bits
+    is null; its row has the rank of the whole score.  A query sees vectors of its own length only, and no row with its own id.  Rows
     that share an id are candidates of their own; queries that share an id are answered once
     each, ranks going on by id and score together.  Ties: smaller id.  Fewer than k
     candidates: all of them.  Empty tables: no rows.
@@ -174,7 +221,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
         some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == block).collect()  # one bounded block
         by_width: dict[int, list] = {}
         for r in some:
-            by_width.setdefault(len(r.value), []).append((r.vec_id, np.array(r.value, dtype=np.int64)))
+            by_width.setdefault(r.width, []).append((r.vec_id, r.value, r.raw))
         sent = spark.sparkContext.broadcast(by_width)
 
         def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -188,24 +235,46 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
                 yield from answers(pd.concat(held), sent.value)
 
         def answers(frame: pd.DataFrame, by_width: dict) -> Iterator[pd.DataFrame]:
-            width = frame["value"].map(len)
             for w, asked_ in by_width.items():
-                own = frame[width == w]
+                own = frame[frame["width"] == w]
                 if not len(own):
                     continue
-                index = BitSlices(own["vec_id"].to_numpy(), np.stack(own["value"].to_numpy()).reshape(len(own), w))
-                found = [(q, *index.top(q, v, k)) for q, v in asked_]
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
-                        "vec_id": np.concatenate([f[1] for f in found]),
-                        "score": np.concatenate([f[2] for f in found]),
-                    }
-                )
-
-        part = vectors.mapInPandas(run, "query_id long, vec_id long, score long")
+                inside = own[own["raw"].isna()]
+                outside = own[own["raw"].notna()]
+                plain = [(q, np.array(v, dtype=np.int64)) for q, v, raw in asked_ if raw is None]
+                if len(inside) and plain:
+                    index = BitSlices(
+                        inside["vec_id"].to_numpy(), np.stack(inside["value"].to_numpy()).reshape(len(inside), w)
+                    )
+                    found = [(q, *index.top(q, v, k)) for q, v in plain]
+                    yield pd.DataFrame(
+                        {
+                            "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
+                            "vec_id": np.concatenate([f[1] for f in found]),
+                            "score": pd.array(np.concatenate([f[2] for f in found]), dtype="Int64"),
+                            "beyond": 0,
+                            "wide": None,
+                        }
+                    )
+                if len(outside):
+                    yield from wide_answers(outside, [(q, v, raw) for q, v, raw in asked_ if raw is None])
+                if any(raw is not None for _, _, raw in asked_):
+                    yield from wide_answers(own, [(q, v, raw) for q, v, raw in asked_ if raw is not None])
+
+        def wide_answers(own: pd.DataFrame, asked_: list) -> Iterator[pd.DataFrame]:
+            ids, values, raws = own["vec_id"].to_numpy(), own["value"].to_numpy(), own["raw"].to_numpy()
+            rows = np.stack([np.asarray(v, dtype=np.float64) if r is None else _floored(r) for v, r in zip(values, raws)])
+            out = [
+                (q, i, *ordered(score))
+                for q, v, raw in asked_
+                for i, score in wide_top(ids, rows, lambda i: _whole(values[i], raws[i]), q, _whole(v, raw), k)
+            ]
+            frame = pd.DataFrame(out, columns=["query_id", "vec_id", "score", "beyond", "wide"])
+            yield frame.assign(score=pd.array([r[2] for r in out], dtype="Int64"))
+
+        part = vectors.mapInPandas(run, "query_id long, vec_id long, score long, beyond int, wide binary")
         parts = part if parts is None else parts.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), F.desc("wide"), "vec_id")
     return parts.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(
         F.col("rank") <= k
     )

@@ -1,9 +1,11 @@
 """Each operator against a brute-force version, with odd rows."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -359,6 +361,27 @@ def test_top_k(spark):
     assert topk_search.top_k(vectors.where("false"), vectors).isEmpty()
 
 
+def test_top_k_with_large_components(spark):
+    """Every finite vector counts, whatever its size, as candidate and as query."""
+    rng = np.random.default_rng(6)
+    values = [[float(x) for x in v] for v in rng.normal(size=(300, 24)) * 0.2]
+    sizes = [2.0**19, 2.0**20, 3.0e6, 1e9, 1e15, 3e18, 1e30, 1e200, 1.7e308]
+    for i in range(0, 300, 7):
+        values[i][i % 24] = float(rng.choice([-1.0, 1.0])) * sizes[i // 7 % len(sizes)]
+    values[14], values[200][3], values[201][3] = list(values[28]), 2e6, 2e6 + 1 / 1024
+    table = spark.createDataFrame(list(enumerate(values)), "vec_id long, embedding array<double>").repartition(3)
+    vectors = topk_search.quantised(table)
+    got = topk_search.top_k(vectors.where("vec_id % 25 = 0 OR vec_id % 28 = 0"), vectors).collect()
+    whole = [[math.floor(Fraction(x) * 1024) for x in v] for v in values]
+    want = []
+    for q in (q for q in range(300) if q % 25 == 0 or q % 28 == 0):
+        scores = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in enumerate(whole) if i != q}
+        best = sorted(scores, key=lambda i: (-scores[i], i))[:10]
+        want += [(q, n, i, scores[i] if -(2**63) <= scores[i] < 2**63 else None) for n, i in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == want
+    assert len({r[2] for r in want if r[2] % 7 == 0}) > 10
+
+
 def test_classifier_on_held_out_labels(spark, docs, nothing):
     data = DATA.replace("0.001", "0.01")
     all_docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
