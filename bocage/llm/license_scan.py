@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,55 @@ AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR
 WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
 NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE
 OF THIS SOFTWARE."""
+_REDISTRIBUTION = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+"""
+_CLAUSES = [
+    """Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.""",
+    """Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    """Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+]
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _bsd(name: str, clauses: int) -> list[str]:
+    """The template with numbers or bullets, with its title or without."""
+    return [
+        head + _REDISTRIBUTION + "\n\n".join(f"{mark(i)} {c}" for i, c in enumerate(_CLAUSES[:clauses], 1)) + "\n\n" + _BSD_END
+        for head in ("", f"BSD {clauses}-Clause License\n\n", name)
+        for mark in (lambda i: f"{i}.", lambda i: "*")
+    ]
+
+
+def _full_texts() -> dict[str, list[str]]:
+    """The files of ``licenses/``, named by licence and number.  With an appendix on how to
+    apply the terms, also the text without it."""
+    found: dict[str, list[str]] = {}
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        texts = found.setdefault(path.stem.split("~")[0], [])
+        texts.append(text)
+        end = re.search(r"END OF TERMS AND CONDITIONS", text)
+        if end:
+            texts += [text[: end.end()], text[: end.start()]]
+    return found
+
+
 # Texts and notices of known licences.
 KNOWN = {
     "MIT": [_MIT, "MIT License\n\n" + _MIT, "The MIT License (MIT)\n\n" + _MIT, "Released under the MIT License."],
@@ -62,7 +112,11 @@ KNOWN = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "BSD-2-Clause": _bsd("Simplified BSD License\n\n", 2),
+    "BSD-3-Clause": _bsd("New BSD License\n\n", 3),
 }
+for _name, _texts in _full_texts().items():
+    KNOWN[_name] = [*KNOWN.get(_name, []), *_texts]
 
 
 def canonical_text(text: str) -> str:

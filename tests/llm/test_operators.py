@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -344,6 +345,22 @@ def test_license_scan(spark, docs, nothing):
     assert license_scan.license_scan(nothing).isEmpty()
 
 
+def test_full_licence_texts(spark):
+    """Whole texts, also in other case and spacing, or without the appendix; not such with other words."""
+    folder = Path(license_scan.__file__).parent / "licenses"
+    want = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-SA-4.0"]
+    texts = {name: (folder / f"{name}~0.txt").read_text(encoding="utf-8") for name in want}
+    rows = [(name, f"Copyright 2021 Some One\n{t.upper()}\n\n") for name, t in texts.items()]
+    rows += [(name, t.replace("  ", " ") + "  ") for name, t in texts.items()]
+    rows += [("Apache-2.0", texts["Apache-2.0"].split("END OF TERMS")[0]), (None, texts["GPL-3.0"] + " and more")]
+    rows += [(None, texts["MPL-2.0"][:9000])]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in license_scan.license_scan(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+    names = dict(license_scan.known_digests(license_scan.KNOWN))
+    assert len(names) == len(set(license_scan.known_digests(license_scan.KNOWN)))  # no text has two names
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     values = [[float(x) for x in v] for v in rng.normal(size=(400, 24)) * 0.2]
