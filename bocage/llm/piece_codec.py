@@ -1,15 +1,17 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Method.  A word's characters are merged along an agenda, best score first, then leftmost.  A
-candidate merge that comes up is skipped for good when the keyed hash of (seed, word, where
-its left part starts, where they meet, where its right part ends) falls below ``dropout``.
-The same seed gives the same pieces everywhere, in any task and after any retry; another
-seed, or another of the ``variants`` that documents are dealt to, cuts words elsewhere.
-Characters outside the vocabulary become byte pieces.  Every cut decodes to the same text.
+candidate merge that comes up is skipped for good when the keyed hash of (seed, doc_id, place
+of the word in the text, where its left part starts, where they meet, where its right part
+ends) falls below ``dropout``.  The same seed gives the same pieces everywhere, in any task
+and after any retry; every occurrence of a word, in one document or another, is cut on its
+own.  Characters outside the vocabulary become byte pieces.  Every cut decodes to the same
+text.
 
 No piece goes on over the space mark after another character, so a text is cut before each
-run of spaces and the parts are remembered by word in each Python worker, up to a fixed
-number of words.
+run of spaces.  Each Python worker remembers, per word and per merges skipped so far, the
+merges that follow if no other is skipped, and the pieces they give; an occurrence is checked
+against these merges, and where one is skipped it goes on to what is remembered from there.
 """
 
 from __future__ import annotations
@@ -27,12 +29,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"  # stands for a space inside pieces
-CACHED_WORDS = 500_000  # per variant
+CACHED = 300_000  # words and skips in them that are remembered
+TEXTS = 64  # encoded at once
 _PARTS = re.compile(" *[^ \n]+| +(?=\n|$)|\n")
 _MIX = 0x9E3779B97F4A7C15
 _FULL = (1 << 64) - 1
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(_MIX)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+class Cut:
+    """A word after some skips: the pieces and the merges that follow without another skip."""
+
+    __slots__ = ("word", "skipped", "triples", "merges", "ids", "further")
+
+    def __init__(self, word: str, skipped: tuple, triples: list, ids: tuple[int, ...]):
+        self.word, self.skipped, self.triples, self.ids = word, skipped, tuple(triples), ids
+        self.merges = np.array(
+            [a * 0xC2B2AE3D27D4EB4F + b * 0x165667B19E3779F9 + c & _FULL for a, b, c in triples], dtype=np.uint64
+        )
+        self.further: dict[int, Cut] = {}
+
+
 class Codec:
     def __init__(self, path: str):
         import sentencepiece
@@ -49,18 +71,18 @@ class Codec:
             else:
                 self.ids[piece], self.score[piece] = i, model.get_score(i)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
-        self.known: dict[int, dict[str, tuple[int, ...]]] = {}
+        self.known: dict[str, Cut] = {}
+        self.size = 0
 
-    def word(self, word: str, dropout: float, key: int) -> list[int]:
-        """Ids of one part of a text, its spaces still spaces."""
+    def word(self, word: str, skipped: tuple = ()) -> Cut:
+        """One part of a text, its spaces still spaces, cut with the merges ``skipped``."""
         # a mark in the text itself is no space: it goes the way of unknown characters
         text = word.replace(MARK, "\0").replace(" ", MARK)
         n = len(text)
         score, push, pop = self.score.get, heapq.heappush, heapq.heappop
-        limit = int(dropout * (1 << 64))
         end = list(range(1, n + 1))  # of the symbol that starts here; 0 once merged away
         before = list(range(-1, n - 1))
-        agenda = []
+        agenda, merges, at = [], [], 0
         for i in range(n - 1):
             s = score(text[i : i + 2])
             if s is not None:
@@ -70,11 +92,11 @@ class Codec:
             _, left, right, stop = pop(agenda)
             if end[left] != right or end[right] != stop:
                 continue  # one of its parts has changed
-            if limit:
-                h = (key ^ (left * 0xC2B2AE3D27D4EB4F + right * 0x165667B19E3779F9 + stop)) * _MIX & _FULL
-                h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & _FULL
-                if h ^ h >> 32 < limit:
-                    continue
+            if at < len(skipped) and skipped[at] == (left, right, stop):
+                at += 1
+                merges = []
+                continue
+            merges.append((left, right, stop))
             end[left], end[right] = stop, 0
             if stop < n:
                 before[stop] = left
@@ -95,19 +117,50 @@ class Codec:
             else:
                 out += [self.byte_id[b] for b in word[i].encode("utf-8", "surrogatepass")]
             i = end[i]
-        return out
-
-    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, variant: int = 0) -> list[int]:
-        known, out = self.known.setdefault(variant, {}), []
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        salt = seed * 1_000_003 + variant & _FULL
-        for part in _PARTS.findall(" " + text) if text else ():
-            ids = known.get(part)
-            if ids is None:
-                key = xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), salt)
-                ids = known[part] = tuple(self.word(part, dropout, key))
-            out += ids
+        self.size += 1
+        return Cut(word, skipped, merges, tuple(out))
+
+    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, doc: int = 0) -> list[int]:
+        return self.encode_all([text], dropout, seed, [doc])[0]
+
+    def encode_all(self, texts: list[str], dropout: float, seed: int, docs: list[int]) -> list[list[int]]:
+        if self.size > CACHED:
+            self.known.clear()
+            self.size = 0
+        known, cuts, sizes = self.known, [], []
+        for text in texts:
+            parts = _PARTS.findall(" " + text) if text else ()
+            sizes.append(len(parts))
+            for part in parts:
+                cut = known.get(part)
+                if cut is None:
+                    cut = known[part] = self.word(part)
+                cuts.append(cut)
+        limit = int(dropout * (1 << 64))
+        if limit and cuts:
+            starts = [xxhash.xxh64_intdigest(int(d).to_bytes(8, "little", signed=True), seed & _FULL) for d in docs]
+            places = np.concatenate([np.arange(1, n + 1, dtype=np.uint64) for n in sizes])
+            keys = _mixed(np.repeat(np.array(starts, dtype=np.uint64), sizes) + places * np.uint64(_MIX))
+            live = np.arange(len(cuts))
+            while len(live):
+                own = [cuts[i].merges for i in live]
+                lengths = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+                at = np.repeat(np.arange(len(own)), lengths)
+                h = _mixed(keys[live[at]] ^ np.concatenate(own))
+                skips = np.flatnonzero(h < np.uint64(min(limit, _FULL)))
+                some, first = np.unique(at[skips], return_index=True)
+                index = skips[first] - (np.cumsum(lengths) - lengths)[some]
+                live = live[some]
+                for i, j in zip(live.tolist(), index.tolist()):
+                    cut = cuts[i]
+                    after = cut.further.get(j)
+                    if after is None:
+                        after = cut.further[j] = self.word(cut.word, (*cut.skipped, cut.triples[j]))
+                    cuts[i] = after
+        out, done = [], 0
+        for n in sizes:
+            out.append([x for cut in cuts[done : done + n] for x in cut.ids])
+            done += n
         return out
 
     def decode(self, ids) -> str:
@@ -116,16 +169,20 @@ class Codec:
 
 
 @cache
-def _codec(path: str, dropout: float, seed: int) -> Codec:
-    return Codec(path)  # one memory of words per setting
+def _codec(path: str) -> Codec:
+    return Codec(path)  # what it remembers holds for every dropout and seed
 
 
-def _rows(docs: DataFrame, variants: int, text: str, doc_id: str) -> DataFrame:
-    own = F.col(doc_id).cast("long")
-    variant = F.when(own.isNull(), 0).otherwise(F.pmod(F.xxhash64(own), F.lit(variants)))
-    return docs.select(
-        own.alias("doc_id"), F.col(text).cast("string").alias("text"), variant.cast("int").alias("variant")
-    )
+def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    own, text_ = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    key = F.coalesce(own, F.xxhash64(text_))
+    return docs.select(own.alias("doc_id"), text_.alias("text"), key.alias("key"))
+
+
+def _encoded(codec: Codec, frame: pd.DataFrame, dropout: float, seed: int) -> Iterator[list[int]]:
+    for at in range(0, len(frame), TEXTS):
+        some = frame.iloc[at : at + TEXTS]
+        yield from codec.encode_all([t or "" for t in some["text"]], dropout, seed, some["key"].tolist())
 
 
 def encoded(
@@ -133,25 +190,23 @@ def encoded(
     model: str,
     dropout: float = 0.1,
     seed: int = 0,
-    variants: int = 2,
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
     """``doc_id, ids, text``: piece ids of every text, and the text decoded from them.
 
-    Null text: null ids and null text.  Empty text: no ids, empty text.  Null doc_id: variant
-    0.  Repeated rows give repeated results.  Empty table: no rows.  Other columns are not
+    Null text: null ids and null text.  Empty text: no ids, empty text.  Null doc_id: a
+    hash of the text takes its place in the key.  Repeated rows give repeated results.  Empty table: no rows.  Other columns are not
     read.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(model, dropout, seed)
+        codec = _codec(model)
         for frame in frames:
             for at in range(0, len(frame), 500):  # ids of few documents at a time
                 some = frame.iloc[at : at + 500]
                 ids = [
-                    None if t is None else codec.encode(t, dropout, seed, int(v))
-                    for t, v in zip(some["text"], some["variant"])
+                    None if t is None else i for t, i in zip(some["text"], _encoded(codec, some, dropout, seed))
                 ]
                 yield pd.DataFrame(
                     {
@@ -161,27 +216,24 @@ def encoded(
                     }
                 )
 
-    rows = _rows(docs, variants, text, doc_id)
+    rows = _rows(docs, text, doc_id)
     return rows.mapInPandas(run, "doc_id long, ids array<int>, text string")
 
 
-def digests(
-    docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 2
-) -> DataFrame:
+def digests(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """``doc_id, n_pieces, ids_crc32, lossless``: what ``encoded`` gives, short."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(model, dropout, seed)
+        codec = _codec(model)
         for frame in frames:
             rows = []
-            for t, v in zip(frame["text"], frame["variant"]):
-                ids = codec.encode(t or "", dropout, seed, int(v))
+            for t, ids in zip(frame["text"], _encoded(codec, frame, dropout, seed)):
                 crc = zlib.crc32(np.array(ids, dtype="<u4").tobytes())
                 rows.append((len(ids), crc, codec.decode(ids) == (t or "")))
             out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "lossless"])
             yield out.assign(doc_id=frame["doc_id"].astype("Int64"))[["doc_id", "n_pieces", "ids_crc32", "lossless"]]
 
-    rows = _rows(docs, variants, "text", "doc_id")
+    rows = _rows(docs, "text", "doc_id")
     return rows.mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
 
 

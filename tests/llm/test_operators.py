@@ -244,6 +244,52 @@ def test_piece_codec(docs, rows, nothing):
     assert piece_codec.encoded(nothing, path).isEmpty()
 
 
+def _brute_cut(codec, word, skips):
+    """Merges one after the other, best score first, then leftmost, over a plain list."""
+    text = word.replace(" ", piece_codec.MARK)
+    edges, gone = list(range(len(text) + 1)), set()
+    while True:
+        found = [
+            (-codec.score[text[a:c]], a, b, c) for a, b, c in zip(edges, edges[1:], edges[2:])
+            if text[a:c] in codec.score and (a, b, c) not in gone
+        ]
+        if not found:
+            break
+        _, a, b, c = min(found)
+        if skips(a, b, c):
+            gone.add((a, b, c))
+        else:
+            edges.remove(b)
+    return [codec.ids[text[a:b]] for a, b in zip(edges, edges[1:])]
+
+
+def test_dropout_is_dealt_by_occurrence():
+    """Equal words are cut on their own in one document and in many, and as the agenda says."""
+    codec = piece_codec.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    word, full, skipping = " international", (1 << 64) - 1, int(0.3 * (1 << 64))
+    whole = [codec.encode_all([(word * 50)[1:]], 0.3, 1, [d])[0] for d in range(20)]
+    assert len({tuple(ids) for ids in whole}) == 20
+    assert whole == codec.encode_all([(word * 50)[1:]] * 20, 0.3, 1, list(range(20)))
+
+    def mixed(h):
+        h = h * piece_codec._MIX & full
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & full
+        return h ^ h >> 32
+
+    cuts = set()
+    for d, ids in enumerate(whole):
+        want = []
+        start = piece_codec.xxhash.xxh64_intdigest(d.to_bytes(8, "little"), 1)
+        for place in range(1, 51):
+            key = mixed(start + place * piece_codec._MIX & full)
+            at = lambda a, b, c: mixed(key ^ (a * 0xC2B2AE3D27D4EB4F + b * 0x165667B19E3779F9 + c & full))  # noqa: E731, B023
+            cut = _brute_cut(codec, word, lambda a, b, c: at(a, b, c) < skipping)  # noqa: B023
+            cuts.add(tuple(cut))
+            want += cut
+        assert ids == want
+    assert len(cuts) > 10
+
+
 def test_token_counts(docs, rows, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     known = token_counts.byte_pieces(path) | {bytes([b]) for b in range(256)}
