@@ -3,19 +3,22 @@
 Method.  Two logistic models see different views of a document: one its text (shares of
 symbols, capitals, digits, repeated words and lines, lengths), one its metadata (source, language,
 stated length).  Both are fitted to a bounded sample of labelled documents.  Over ``ROUNDS``
-rounds each gives its most confident pseudo-labels on a bounded pool of unlabelled documents
-to the other, and both are fitted again.  A part of the labelled sample is held out all the
+rounds each gives its confident pseudo-labels on all unlabelled documents to the other, and
+both are fitted again.  A quarter of each class of the labelled sample is held out all the
 time; on it each view is calibrated (a slope and an offset) and the calibrated views are
 combined, weighted by a last logistic fit.  Every document is then scored.
 
-Scale.  Only the two samples (``LABELLED`` and ``POOL`` documents, documented bounds) reach
-the driver, as rows of a few dozen numbers; they are chosen by the order of a hash of the
-doc_id.  Scoring is one scan without a shuffle, and holds no state.
+Scale.  Only the labelled sample (``LABELLED`` documents, a documented bound) reaches the
+driver, as rows of a few dozen numbers; it is chosen by the order of a hash of the doc_id.
+The views of all documents are written once, 16 numbers each.  A step of a fit is a scan of
+them: tasks send sums of gradients and Hessians, of one size whatever the input, added up by
+Spark.  What a document has been given is found again from the models of the rounds before, so
+no state is kept per document.  Scoring is one scan without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,9 +29,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 LABELLED = 8_000  # labelled documents the fit may use
-POOL = 8_000  # unlabelled documents it may use
 ROUNDS = 5
-PER_ROUND = 300  # pseudo-labels each view gives per round and class, at most
+STEPS = 25  # of one fit over all documents, at most
 SURE = 0.97
 THRESHOLD = 0.5
 SOURCES, LANGS = 64, 16
@@ -112,35 +114,64 @@ def logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool: list[np.ndarray]) -> dict:
-    """Model from both views of the labelled sample and of the pool; ``held``: rows kept for
-    calibration.  Text features are standardised by the labelled sample."""
+def taught(views: list[np.ndarray], rounds: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per view the rows that the other one was sure of, and their labels.  A row counts in the
+    first of the rounds in which a view is sure of it."""
+    open_ = np.ones(len(views[0]), dtype=bool)
+    rows, labels = [[], []], [[], []]
+    edge = np.log(SURE / (1 - SURE))
+    for weights in rounds:
+        z = [logit(v, w) for v, w in zip(views, weights)]
+        sure = [open_ & (np.abs(v) >= edge) for v in z]
+        for i in (0, 1):  # what view i is sure of teaches the other
+            rows[1 - i].append(np.flatnonzero(sure[i]))
+            labels[1 - i].append(z[i][sure[i]] > 0)
+        open_ &= ~(sure[0] | sure[1])
+    return [(np.concatenate(r), np.concatenate(y).astype(float)) for r, y in zip(rows, labels)]
+
+
+def sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Count, gradient and Hessian of the logistic likelihood, in one row."""
+    p = 1 / (1 + np.exp(-logit(x, w)))
+    x = np.c_[x, np.ones(len(x))]
+    return np.r_[len(x), x.T @ (y - p), ((x.T * np.maximum(p * (1 - p), 1e-6)) @ x).ravel()]
+
+
+def stepped(total: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """The Newton step of ``fit`` from sums over all rows."""
+    n = len(w)
+    shrink = np.r_[np.full(n - 1, ridge), 1e-6]
+    return np.linalg.solve(total[1 + n :].reshape(n, n) + np.diag(shrink), total[1 : 1 + n] - shrink * w)
+
+
+def co_train(
+    labelled: list[np.ndarray], y: np.ndarray, train: np.ndarray, held: np.ndarray, free: Callable
+) -> dict:
+    """Model from both views of the labelled sample; ``train``, ``held``: its rows to fit and to
+    calibrate.  ``free(scale, rounds, weights)``: ``sums`` of each view over all unlabelled
+    documents.  Text features are standardised by the labelled sample."""
     centre, spread = labelled[0].mean(axis=0), labelled[0].std(axis=0) + 1e-3
-    scale = lambda x: (x - centre) / spread
-    own = [scale(labelled[0]), labelled[1]]
-    free = [scale(pool[0]), pool[1]]
-    x = [v[~held] for v in own]
-    targets = [y[~held], y[~held]]
-    open_ = np.ones(len(free[0]), dtype=bool)
-    weights = [fit(x[i], targets[i]) for i in (0, 1)]
+    own = [(labelled[0] - centre) / spread, labelled[1]]
+    weights = [fit(v[train], y[train]) for v in own]
+    rounds, given = [], [0, 0]
     for _ in range(ROUNDS):
-        gifts = []
-        for i in (0, 1):
-            p = 1 / (1 + np.exp(-logit(free[i], weights[i])))
-            given = []
-            for label, sure in ((1, p), (0, 1 - p)):
-                rows = np.flatnonzero(open_ & (sure >= SURE))
-                given.append((rows[np.argsort(-sure[rows], kind="stable")][:PER_ROUND], label))
-            gifts.append(given)
-        if not any(len(rows) for given in gifts for rows, _ in given):
+        rounds.append(weights)
+        for step in range(STEPS):
+            parts = free((centre, spread), rounds, weights)
+            if not step:
+                now = [part[0] for part in parts]
+            if now == given:
+                break
+            steps = [
+                stepped(part + sums(v[train], y[train], w), w) for part, v, w in zip(parts, own, weights)
+            ]
+            weights = [w + move for w, move in zip(weights, steps)]
+            if max(np.abs(move).max() for move in steps) < 1e-6:
+                break
+        if now == given:  # no document that had no pseudo-label
             break
-        for i in (0, 1):  # what view i is sure of teaches the other
-            for rows, label in gifts[i]:
-                x[1 - i] = np.r_[x[1 - i], free[1 - i][rows]]
-                targets[1 - i] = np.r_[targets[1 - i], np.full(len(rows), label)]
-                open_[rows] = False
-        weights = [fit(x[i], targets[i]) for i in (0, 1)]
-    z = [logit(own[i][held], weights[i]) for i in (0, 1)]
+        given = now
+    z = [logit(v[held], w) for v, w in zip(own, weights)]
     calibration = [fit(v[:, None], y[held], 1e-3) for v in z]
     z = np.c_[tuple(logit(v[:, None], c) for v, c in zip(z, calibration))]
     return {"centre": centre, "spread": spread, "weights": weights, "calibration": calibration, "last": fit(z, y[held], 1e-3)}
@@ -164,47 +195,86 @@ def _columns(docs: DataFrame) -> DataFrame:
     )
 
 
+def _dense(x: np.ndarray) -> list[np.ndarray]:
+    """Both views from the stored numbers: text features, column of source and of language, length, none stated."""
+    meta = np.zeros((len(x), META_FEATURES))
+    at = np.arange(len(x))
+    for c in (TEXT_FEATURES, TEXT_FEATURES + 1):
+        meta[at, x[:, c].astype(int)] = 1.0
+    meta[:, SOURCES + LANGS :] = x[:, TEXT_FEATURES + 2 :]
+    return [x[:, :TEXT_FEATURES], meta]
+
+
+def parted(y: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to fit and rows to calibrate: of each class every fourth by hash is held out.  The
+    only row of a class is both."""
+    held, train = np.zeros(len(y), dtype=bool), np.zeros(len(y), dtype=bool)
+    hashes = np.array([xxhash.xxh64_intdigest(str(i)) for i in ids], dtype=np.uint64)
+    for label in (0, 1):
+        rows = np.flatnonzero(y == label)
+        rows = rows[np.argsort(hashes[rows], kind="stable")]
+        held[rows[::4]] = True
+        train[rows] = ~held[rows] | (len(rows) == 1)
+    return train, held
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The model; None without labelled documents of both classes."""
-    rows = _columns(docs)
     order = F.xxhash64("doc_id")
     classes = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where("quality IN (0, 1) AND doc_id IS NOT NULL")
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
     )
-    chosen = classes.orderBy(order, "doc_id").limit(LABELLED)
-    pool = rows.where("doc_id IS NOT NULL").select("doc_id").orderBy(order, "doc_id").limit(POOL)
-    wanted = saved(
-        pool.distinct().join(chosen, "doc_id", "full"), "sample"
-    )  # LABELLED + POOL rows at most: a bound that allows the broadcast and the collection
+    chosen = saved(classes.orderBy(order, "doc_id").limit(LABELLED), "sample")  # a bound that allows the broadcast
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            text, meta = views(frame)
+            rows = []
+            for text, *meta in zip(frame["text"], frame["source"], frame["lang"], frame["n_chars"]):
+                (source, _), (lang, _), (_, size), (_, none) = meta_features(*meta)
+                rows.append([*text_features(text), float(source), float(lang), float(size), none])
             yield pd.DataFrame(
-                {"doc_id": frame["doc_id"], "quality": frame["quality"], "x": list(np.c_[text, meta])}
+                {"doc_id": frame["doc_id"].astype("Int64"), "quality": frame["quality"].astype("Int64"), "x": rows}
             )
 
-    found = (
-        rows.join(F.broadcast(wanted), "doc_id")
-        .select("doc_id", "text", "source", "lang", "n_chars", F.coalesce("quality", F.lit(-1)).alias("quality"))
-        .mapInPandas(run, "doc_id long, quality int, x array<double>")
-        .toPandas()
-        .sort_values("doc_id", kind="stable")
-        .drop_duplicates("doc_id")
+    found = _columns(docs).join(F.broadcast(chosen), "doc_id", "left").mapInPandas(
+        run, "doc_id long, quality int, x array<double>"
     )
-    if not len(found):
-        return None
-    x = np.stack(found["x"].to_numpy())
-    y = found["quality"].to_numpy()
-    own, free = y >= 0, y < 0
-    held = np.array([xxhash.xxh64_intdigest(str(i)) % 4 == 0 for i in found["doc_id"].to_numpy()[own]], dtype=bool)
-    y = y[own].astype(float)
-    if min(len(set(y[held])), len(set(y[~held]))) < 2:
+    found = saved(found, "views")
+    own = found.where("quality IS NOT NULL").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()
+    own = own.sort_values("doc_id")
+    y = own["quality"].to_numpy(dtype=float)
+    if len(set(y)) < 2:
         return None
-    split = lambda rows: [x[rows][:, :TEXT_FEATURES], x[rows][:, TEXT_FEATURES:]]
-    return co_train(split(own), y, held, split(free))
+    others = found.where("quality IS NULL").select("x")
+    sizes = [TEXT_FEATURES + 1, META_FEATURES + 1]
+    sizes = [1 + n + n * n for n in sizes]
+
+    def free(scale: tuple, rounds: list, weights: list) -> list[np.ndarray]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(sum(sizes))
+            for frame in frames:
+                if len(frame):
+                    text, meta = _dense(np.stack(frame["x"].to_numpy()))
+                    views = [(text - scale[0]) / scale[1], meta]
+                    total += np.concatenate(
+                        [sums(v[rows], y, w) for v, (rows, y), w in zip(views, taught(views, rounds), weights)]
+                    )
+            some = np.flatnonzero(total)
+            yield pd.DataFrame({"k": some.astype(np.int32), "v": total[some]})
+
+        # as decimals: their sum is the same in any order
+        added = others.mapInPandas(run, "k int, v double").groupBy("k").agg(
+            F.sum(F.col("v").cast("decimal(28,9)")).cast("double").alias("v")
+        )
+        total = np.zeros(sum(sizes))
+        for k, v in added.collect():
+            total[k] = v
+        return [total[: sizes[0]], total[sizes[0] :]]
+
+    train, held = parted(y, own["doc_id"].to_numpy())
+    return co_train(_dense(np.stack(own["x"].to_numpy())), y, train, held, free)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -459,6 +459,33 @@ def test_classifier_on_held_out_labels(spark, docs, nothing):
     assert quality_classifier.scored(nothing, labels).isEmpty()
 
 
+def test_few_labels_give_a_model(spark):
+    """Both classes are fitted and held out, however few labels there are."""
+    for n in (1, 2, 3, 30):
+        y = np.array([0.0] * n + [1.0] * 2)
+        train, held = quality_classifier.parted(y, np.arange(len(y)))
+        assert all(set(y[part]) == {0.0, 1.0} for part in (train, held)) and (train | held).all()
+    data = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    few = labels.where("quality = 0").orderBy("doc_id").limit(1).union(labels.where("quality = 1").orderBy("doc_id").limit(1))
+    assert quality_classifier.trained(data, few) is not None
+
+
+def test_sums_over_tasks_are_the_fit():
+    """Pseudo-labels are given by every sure document, and steps from summed parts fit as one."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40_000, 3))
+    y = (x[:, 0] + rng.normal(size=len(x)) > 0).astype(float)
+    w = np.zeros(4)
+    for _ in range(25):
+        w = w + quality_classifier.stepped(sum(quality_classifier.sums(x[i::7], y[i::7], w) for i in range(7)), w)
+    assert w == pytest.approx(quality_classifier.fit(x, y), abs=1e-6)
+    strong = [np.array([5.0, 0, 0, 0]), np.array([0, 0.1, 0, 0])]
+    (_, _), (rows, labels) = quality_classifier.taught([x, x], [strong])
+    sure = np.flatnonzero(np.abs(5 * x[:, 0]) >= np.log(0.97 / 0.03))
+    assert rows.tolist() == sure.tolist() and (labels == (x[sure, 0] > 0)).all() and len(rows) > 8000
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
