@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     license_scan,
     line_dedup,
+    merkle_manifest,
     packing,
     piece_codec,
     quality_classifier,
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op8_simhash_near_dedup": simhash_dedup.op8,
         "op9_packing": packing.op9,
         "op10_suffix_dedup": suffix_dedup.op10,
+        "op13_merkle_manifest": merkle_manifest.op13,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -40,6 +42,7 @@ def oracle_sql() -> dict[str, str]:
     found = {
         "op2_topk_search": topk_search.OP2_SQL,
         "op4_license_scan": license_scan.op4_sql(),
+        "op13_merkle_manifest": merkle_manifest.op13_sql(),
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {k: v for k, v in found.items() if v}
