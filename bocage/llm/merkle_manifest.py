@@ -28,6 +28,8 @@ from .places import ranked
 
 ARITY = 3
 LEVELS = 6  # edges from a subtree's leaves to its root: 729 leaves, 35 KB
+# Paths are broadcast up to so many rows: one is about 128 bytes a level of its tree, 5 KB at 40 levels.
+FEW = 10_000
 
 NODES = "key string, block long, size int, height int, nodes binary, root string"
 PATH = "lefts array<string>, rights array<string>"
@@ -171,10 +173,10 @@ def _with_paths(rounds: list[DataFrame], ends: DataFrame, levels: int) -> DataFr
     extra = [c for c in ends.columns if c != "key"]
     below = None
     for part in reversed(rounds):
-        done = part.where("ends").join(small(ends), "key")
+        done = part.where("ends").join(small(ends, FEW), "key")
         if below is not None:
             above = saved(_leaf_paths(below, extra, levels), "paths").withColumnRenamed("at", "block")
-            done = done.unionByName(part.where("NOT ends").join(small(above), ["key", "block"]).select(*done.columns))
+            done = done.unionByName(part.where("NOT ends").join(small(above, FEW), ["key", "block"]).select(*done.columns))
         below = done
     return below
 
@@ -240,7 +242,7 @@ def verified(
     sources = ranked(tops(rounds), [], ["key"])
     above = manifest(sources.select(F.lit("").alias("key"), "at", F.col("top").alias("digest")), levels)
     paths = _paths_of_tops(above, levels)
-    ends = saved(sources.join(small(saved(paths, "top-paths")), "at").select("key", "lefts", "rights", "whole", F.col("top").alias("subroot")), "ends")
+    ends = saved(sources.join(small(saved(paths, "top-paths"), FEW), "at").select("key", "lefts", "rights", "whole", F.col("top").alias("subroot")), "ends")
     trees = _with_paths(rounds, ends, levels)
     members = _members(placed, levels, "doc_id", "digest", "forged")
     return trees.join(members, ["key", "block"]).mapInArrow(
