@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    conversation_trie,
     license_scan,
     line_dedup,
     merkle_manifest,
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op8_simhash_near_dedup": simhash_dedup.op8,
         "op9_packing": packing.op9,
         "op10_suffix_dedup": suffix_dedup.op10,
+        "op11_conversation_trie": conversation_trie.op11,
         "op13_merkle_manifest": merkle_manifest.op13,
         "pipeline": corpus_pipeline.run,
     }
@@ -42,6 +44,7 @@ def oracle_sql() -> dict[str, str]:
     found = {
         "op2_topk_search": topk_search.OP2_SQL,
         "op4_license_scan": license_scan.op4_sql(),
+        "op11_conversation_trie": conversation_trie.OP11_SQL,
         "op13_merkle_manifest": merkle_manifest.op13_sql(),
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
