@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     conversation_trie,
+    language_id,
     license_scan,
     line_dedup,
     merkle_manifest,
@@ -33,6 +34,7 @@ def queries() -> dict:
         "op9_packing": packing.op9,
         "op10_suffix_dedup": suffix_dedup.op10,
         "op11_conversation_trie": conversation_trie.op11,
+        "op12_language_id": language_id.op12,
         "op13_merkle_manifest": merkle_manifest.op13,
         "pipeline": corpus_pipeline.run,
     }
