@@ -30,8 +30,8 @@ SWITCH = 8.0  # cost of a change of language, in nats
 WORST = 6.0  # a word speaks against a language by no more than this
 OUTSIDE = 1000.0  # a language that is not written in the word's script
 OWN_SCRIPT = 0.01  # share of a language's training letters from which a script is one of its own
-PIECE = 1_000_000  # characters read at once; a longer text is cut, at white space where there is some
-BLOCK = 1 << 24  # scores of words held at once
+PIECE = 1 << 18  # characters read at once; a longer text is cut, at white space where there is some
+BLOCK = 1 << 22  # scores of words held at once
 
 # Blocks of the Unicode standard (first and last code point) by script.
 SCRIPTS = [
@@ -296,11 +296,13 @@ class Reader:
             held.clear()
 
         size = min(PIECE, max(20_000, BLOCK // (8 * n)))
-        for pieces in pieces_of(texts, size):
+        # texts of like length together: a block takes as many steps as its longest has words
+        by_length = np.argsort([len(t or "") for t in texts], kind="stable")
+        for pieces in pieces_of([texts[i] for i in by_length], size):
             words = read_words(pieces, self.model.buckets)
             if len(words.first):
-                held.append((words, word_scores(words, self.model), np.array([p[0] for p in pieces])[words.piece], pieces_so_far + words.piece))
-                words.grams = words.grams[:, :0]
+                held.append((words, word_scores(words, self.model), by_length[[p[0] for p in pieces]][words.piece], pieces_so_far + words.piece))
+                words.grams = words.grams[:, :0].copy()
             pieces_so_far += len(pieces)
             if sum(len(h[1]) for h in held) * n > BLOCK:
                 decode()
