@@ -5,34 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more rows than this, however large the table is.
+# A key is hot when one side holds more rows of it than this, however large the tables are.
 HOT_ROWS = 20_000
 
 
-def salted_join(
-    big: DataFrame,
-    other: DataFrame,
-    keys: list[str],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Inner equi-join in which every hot key of ``big`` is spread over many tasks.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner equi-join in which every hot key is spread over many tasks, whichever side is hot, or both.
 
-    Rows of a hot key in ``big`` get one of ``n`` salts, the matching rows of ``other`` are
-    repeated once per salt.  Nothing is dropped; keys that are not hot keep a single salt.
+    Rows of a hot key are dealt into ``n`` parts on the one side and ``m`` on the other, and repeated for every part of the
+    other side, so that each pair meets once, in one of ``n * m`` tasks.  Nothing is dropped; keys that are not hot have one part.
+    Both sides are read twice; they should be written tables.
     """
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = (
-        counts.where(F.col("_n") > F.lit(hot_rows))
-        .select(*keys, F.ceil(F.col("_n") / F.lit(float(hot_rows))).cast("int").alias("_salts"))
-    )
-    spread = F.pmod(
-        F.xxhash64(*[c for c in big.columns if c not in keys]),
-        F.coalesce(F.col("_salts"), F.lit(1)),
-    )
-    left = big.join(hot, keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
-    right = (
-        other.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    counts = [side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)) for side, name in ((left, "_n"), (right, "_m"))]
+    parts = lambda c: F.ceil(F.col(c) / F.lit(float(hot_rows))).cast("int").alias(c)
+    both = counts[0].join(counts[1], keys)
+    hot = both.where((F.col("_n") > hot_rows) | (F.col("_m") > hot_rows)).select(*keys, parts("_n"), parts("_m"))
+
+    def dealt(side: DataFrame, own: str, other: str, own_salt: str, other_salt: str) -> DataFrame:
+        one = F.coalesce(F.col(own), F.lit(1))
+        return (
+            # rows of a written table keep their numbers; equal rows must not go to the same part
+            side.withColumn("_row", F.monotonically_increasing_id())
+            .join(hot, keys, "left")
+            .withColumn(own_salt, F.pmod(F.xxhash64("_row"), one).cast("int"))
+            .withColumn(other_salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
+            .drop("_n", "_m", "_row")
+        )
+
+    a, b = dealt(left, "_n", "_m", "_s", "_t"), dealt(right, "_m", "_n", "_t", "_s")
+    return a.join(b, [*keys, "_s", "_t"]).drop("_s", "_t")

@@ -6,10 +6,13 @@ grid cell; a point or an edge is compared only with records of its own cell.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import salted_join
+from .adaptive import join_cells, levels, split_points, split_records
+from .shared import written
 from .tiles import CELL_M, cell_of, polygon_records
 
 # A point this close to an edge (relative to the length of the edge) lies on it.
@@ -21,7 +24,7 @@ def _has_edge(prefix: str = "") -> str:
 
 
 def match_points(
-    polygons: DataFrame, points: DataFrame, polygon_id: str, point_id: str, cell: float = CELL_M
+    polygons: DataFrame, points: DataFrame, polygon_id: str, point_id: str, cell: float = CELL_M, crowd: int | None = None
 ) -> DataFrame:
     """Pairs (``polygon_id``, ``point_id``) where the polygon holds the point ``x, y``.
 
@@ -29,9 +32,11 @@ def match_points(
     """
     records = polygon_records(
         polygons.select(F.col(polygon_id).alias("poly"), "geometry"), ["poly"], cell, touching=True
-    ).drop("ys", "ye")
-    pts = cell_of(points.select(F.col(point_id).alias("pt"), "x", "y"), cell)
-    met = salted_join(records, pts, ["cx", "cy"])
+    )
+    pts = written(cell_of(points.select(F.col(point_id).alias("pt"), "x", "y"), cell), "points")
+    split = lambda t, c: split_records(t, ["poly"], c, touching=True)
+    sizes = levels(written(records, "records"), pts, cell, split, split_points, crowd)
+    met = reduce(DataFrame.union, [join_cells(a.drop("ys", "ye"), b, crowded) for a, b, _, crowded in sizes])
     # side < 0: the point lies below the edge (edges are stored left to right)
     side = "((xb - xa) * (y - ya) - (yb - ya) * (x - xa))"
     span = "(abs(xb - xa) + abs(yb - ya))"
@@ -53,7 +58,7 @@ def match_points(
 
 
 def match_polygons(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float = CELL_M
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float = CELL_M, crowd: int | None = None
 ) -> DataFrame:
     """Pairs (``left_id``, ``right_id``) of polygons that share at least one point.
 
@@ -63,18 +68,23 @@ def match_polygons(
     a = left.select(F.col(left_id).alias("lid"), "geometry")
     b = right.select(F.col(right_id).alias("rid"), "geometry")
 
-    def pieces(df, key, out):
-        cols = ["xa", "ya", "xb", "yb"]
-        return (
-            polygon_records(df, [key], cell, touching=True)
-            .where(_has_edge())
-            .select(key, "cx", "cy", *[F.col(c).alias(c + out) for c in cols])
-        )
+    def pieces(df, key):
+        return written(polygon_records(df, [key], cell, touching=True).where(_has_edge()), "edges")
 
-    near = salted_join(pieces(b, "rid", "2"), pieces(a, "lid", ""), ["cx", "cy"]).where(
-        "xa <= xb2 AND xa2 <= xb AND least(ya, yb) <= greatest(ya2, yb2)"
-        " AND least(ya2, yb2) <= greatest(ya, yb)"
-    )
+    def split(key):
+        return lambda t, c: split_records(t, [key], c, touching=True).where(_has_edge())
+
+    def whole_edges(df, key, out):
+        return df.select(key, "cx", "cy", *[F.col(c).alias(c + out) for c in ("xa", "ya", "xb", "yb")])
+
+    sizes = levels(pieces(b, "rid"), pieces(a, "lid"), cell, split("rid"), split("lid"), crowd)
+    near = reduce(DataFrame.union, [
+        join_cells(whole_edges(r, "rid", "2"), whole_edges(l, "lid", ""), crowded).where(
+            "xa <= xb2 AND xa2 <= xb AND least(ya, yb) <= greatest(ya2, yb2)"
+            " AND least(ya2, yb2) <= greatest(ya, yb)"
+        )
+        for r, l, _, crowded in sizes
+    ])
 
     def turn(p, q):
         """Sign of the turn from edge ``p`` towards the end ``q`` of the other edge."""
@@ -93,8 +103,8 @@ def match_polygons(
             F.get("ring.pts", F.lit(0))["y"].alias("y"),
         )
 
-    held = match_points(a, marks(b, "rid"), "lid", "rid", cell).select("lid", "rid")
-    holds = match_points(b, marks(a, "lid"), "rid", "lid", cell).select("lid", "rid")
+    held = match_points(a, marks(b, "rid"), "lid", "rid", cell, crowd).select("lid", "rid")
+    holds = match_points(b, marks(a, "lid"), "rid", "lid", cell, crowd).select("lid", "rid")
     return (
         meeting.union(held).union(holds).distinct()
         .select(F.col("lid").alias(left_id), F.col("rid").alias(right_id))

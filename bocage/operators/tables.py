@@ -161,12 +161,13 @@ def pivot_sum(
     names: dict,
     null_name: str | None = None,
     other_name: str | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Long to wide with the output columns fixed beforehand by ``names`` (value -> column).
 
     A value that is absent from the data still gets its column (NULL).  ``null_name`` is the
-    column for a NULL value, ``other_name`` the one for all values that are not listed.  Written as
-    conditional sums, which is what a pivot with listed values runs as, in one pass.
+    column for a NULL value, ``other_name`` the one for all values that are not listed, ``total`` the one for
+    the sum of all rows.  Written as conditional sums, which is what a pivot with listed values runs as, in one pass.
     """
     cells = [
         F.sum(F.when(F.col(names_from) == F.lit(value), F.col(values_from))).alias(column)
@@ -177,6 +178,8 @@ def pivot_sum(
     if other_name:
         listed = F.col(names_from).isin(list(names))
         cells.append(F.sum(F.when(~listed, F.col(values_from))).alias(other_name))
+    if total:
+        cells.append(F.sum(values_from).alias(total))
     return df.groupBy(*keys).agg(*cells)
 
 

@@ -76,10 +76,9 @@ def organic_without_net(found: DataFrame) -> DataFrame:
 def land_cover_composition(plots: DataFrame, land_cover: DataFrame, radii) -> DataFrame:
     """``id_plot, r``, the covered area and the share of every class but orchards in it."""
     areas = overlay_polygons_discs(land_cover, discs(plots.select("id_plot", "x", "y"), radii), ["Code_n1"])
-    wide = t.pivot_sum(areas, ["id_plot", "r"], "Code_n1", "area_m2", LAND_COVER)
-    total = t.group_total(areas, ["id_plot", "r"], "area_m2", "area_tot_buffer")
+    wide = t.pivot_sum(areas, ["id_plot", "r"], "Code_n1", "area_m2", LAND_COVER, total="area_tot_buffer")
     shares = {c: t.share(F.coalesce(F.col(c), F.lit(0.0)), F.col("area_tot_buffer")) for c in LAND_COVER.values()}
-    return t.fill_zero(wide.join(total, ["id_plot", "r"]).withColumns(shares)).drop("vergers")
+    return t.fill_zero(wide.withColumns(shares)).drop("vergers")
 
 
 def _nominal(column: str):
@@ -95,9 +94,9 @@ def net_composition(plots: DataFrame, land_cover: DataFrame, nets: DataFrame, ra
     held = match_points(land_cover, own, "FID", "net").join(own.select("net", "type_filet"), "net")
     orchards = land_cover.select("FID", "geometry").join(held, "FID")
     areas = overlay_polygons_discs(orchards, discs(plots.select("id_plot", "x", "y"), radii), ["type_filet"])
-    wide = t.pivot_sum(areas, ["id_plot", "r"], "type_filet", "area_m2", NET_TYPES, null_name="inconnu")
-    total = t.group_total(areas, ["id_plot", "r"], "area_m2", "tot_vergers")
-    wide = t.fill_zero(wide.join(total, ["id_plot", "r"]))
+    wide = t.fill_zero(
+        t.pivot_sum(areas, ["id_plot", "r"], "type_filet", "area_m2", NET_TYPES, null_name="inconnu", total="tot_vergers")
+    )
     out = {f"{c}_vergers": t.share(F.col(c), F.col("tot_vergers")) for c in NET_TYPES}
     disc = {c: _nominal(c) for c in [*NET_TYPES, "inconnu"]}
     return wide.withColumns(out | disc).withColumn("pourcent_vergers", sum(F.col(c) for c in disc))
