@@ -171,8 +171,10 @@ def candidates(*layers: DataFrame) -> DataFrame:
     """All candidates of the layers with the defaults for missing values, in this order:
     no exclusion is one of birds, no word on nets is an exclusion, no validation is a valid plot."""
     named = ["id_plot", "AB", "filet", "exclu", "valide_2022"]
-    return t.union_by_name(*layers).select(*named).select(
-        "id_plot", "AB", "filet",
+    every = t.union_by_name(*layers)
+    where = [c for c in ("x", "y") if c in every.columns]
+    return every.select(*named, *where).select(
+        "id_plot", "AB", "filet", *where,
         F.when(F.col("filet").isNull(), F.lit("oui")).otherwise(F.coalesce("exclu", F.lit("Oiseaux"))).alias("exclu"),
         F.coalesce("valide_2022", F.lit("ok")).alias("valide_2022"),
     )
