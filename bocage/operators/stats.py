@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z_95 = 1.959963984540054
 
@@ -39,7 +40,7 @@ def two_sided_p(r: float, n: int) -> float | None:
     return incomplete_beta(df / 2, 0.5, rest)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([two_sided_p(None if pd.isna(a) else float(a), int(b)) for a, b in zip(r, n)], dtype="float64")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import spatial_join, tables
 from . import landscape as p
+from . import orchards
 
 # --- layers ---------------------------------------------------------------------------
 
@@ -187,9 +188,7 @@ def queries() -> dict:
             p.netted_share(plots(s, d), land_cover(s, d), p.normalise_nets(nets(s, d)), [500])
         ),
         "semi_natural_share_500": lambda s, d: _rounded(p.semi_natural_share(plots(s, d), vegetation(s, d), [500])),
-        "multi_radius": lambda s, d: _rounded(p.multi_radius([
-            _landscape(s, d, r) for r in (250, 500, 1000)
-        ])),
+        "multi_radius": lambda s, d: _rounded(orchards.landscape_tables(_tables(s, d, [250, 500, 1000]), [250, 500, 1000])),
         "with_plot_info": lambda s, d: p.with_plot_info(
             _rounded(p.land_cover_composition(plots(s, d), land_cover(s, d), [500])).select("id_plot", "urbain", "prairies"),
             plot_info(s, d),
