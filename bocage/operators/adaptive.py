@@ -94,7 +94,7 @@ def levels(
 ) -> Iterator[tuple[DataFrame, DataFrame, float, bool]]:
     """``a, b, cell, crowded`` for every size of cells: what is to be joined on ``cx, cy`` at this size.
 
-    ``a`` and ``b`` should be cheap to read again.  ``split_a(rows, cell)`` gives rows for cells of half the size.
+    ``a`` and ``b`` are read twice, so what is dear should be written.  ``split_a(rows, cell)`` gives rows for cells of half the size.
     ``crowded`` marks the last size, where cells may be crowded still.
     """
     crowd, deepest = crowd or CROWD, DEEPEST if deepest is None else deepest
@@ -104,10 +104,11 @@ def levels(
             return
         count = lambda df: df.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"))
         both = count(a).join(count(b).withColumnRenamed("n", "m"), _CELL)
-        full = written(both.where((F.col("n") > crowd) | (F.col("m") > crowd)).select(*_CELL), "crowded")
+        full = both.where((F.col("n") > crowd) | (F.col("m") > crowd)).select(*_CELL)
         if full.isEmpty():
             yield a, b, cell, False
             return
+        full = written(full, "crowded")
         yield a.join(full, _CELL, "left_anti"), b.join(full, _CELL, "left_anti"), cell, False
         a = written(split_a(a.join(full, _CELL, "left_semi"), cell), "finer")
         b = written(split_b(b.join(full, _CELL, "left_semi"), cell), "finer")

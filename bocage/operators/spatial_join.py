@@ -30,12 +30,15 @@ def match_points(
 
     ``sum(w)`` over the records above the point is its winding number in the polygon.
     """
-    records = polygon_records(
-        polygons.select(F.col(polygon_id).alias("poly"), "geometry"), ["poly"], cell, touching=True
-    )
-    pts = written(cell_of(points.select(F.col(point_id).alias("pt"), "x", "y"), cell), "points")
+    records = polygon_records(polygons.select(F.col(polygon_id).alias("poly"), "geometry"), ["poly"], cell, touching=True)
+    held = _holding(written(records, "records"), points.select(F.col(point_id).alias("pt"), "x", "y"), cell, crowd)
+    return held.select(F.col("poly").alias(polygon_id), F.col("pt").alias(point_id))
+
+
+def _holding(records: DataFrame, points: DataFrame, cell: float, crowd: int | None) -> DataFrame:
+    """Pairs ``poly, pt`` from written records of polygons and points ``pt, x, y``."""
     split = lambda t, c: split_records(t, ["poly"], c, touching=True)
-    sizes = levels(written(records, "records"), pts, cell, split, split_points, crowd)
+    sizes = levels(records, cell_of(points, cell), cell, split, split_points, crowd)
     met = reduce(DataFrame.union, [join_cells(a.drop("ys", "ye"), b, crowded) for a, b, _, crowded in sizes])
     # side < 0: the point lies below the edge (edges are stored left to right)
     side = "((xb - xa) * (y - ya) - (yb - ya) * (x - xa))"
@@ -53,7 +56,7 @@ def match_points(
         hits.groupBy("poly", "pt")
         .agg(F.sum("w").alias("w"), F.max("on_edge").alias("on_edge"))
         .where("w > 0 OR on_edge")
-        .select(F.col("poly").alias(polygon_id), F.col("pt").alias(point_id))
+        .select("poly", "pt")
     )
 
 
@@ -68,16 +71,17 @@ def match_polygons(
     a = left.select(F.col(left_id).alias("lid"), "geometry")
     b = right.select(F.col(right_id).alias("rid"), "geometry")
 
-    def pieces(df, key):
-        return written(polygon_records(df, [key], cell, touching=True).where(_has_edge()), "edges")
+    def records(df, key):
+        return written(polygon_records(df.withColumnRenamed(key, "poly"), ["poly"], cell, touching=True), "records")
 
-    def split(key):
-        return lambda t, c: split_records(t, [key], c, touching=True).where(_has_edge())
+    def split(t, c):
+        return split_records(t, ["poly"], c, touching=True).where(_has_edge())
 
     def whole_edges(df, key, out):
-        return df.select(key, "cx", "cy", *[F.col(c).alias(c + out) for c in ("xa", "ya", "xb", "yb")])
+        return df.select(F.col("poly").alias(key), "cx", "cy", *[F.col(c).alias(c + out) for c in ("xa", "ya", "xb", "yb")])
 
-    sizes = levels(pieces(b, "rid"), pieces(a, "lid"), cell, split("rid"), split("lid"), crowd)
+    left_records, right_records = records(a, "lid"), records(b, "rid")
+    sizes = levels(right_records.where(_has_edge()), left_records.where(_has_edge()), cell, split, split, crowd)
     near = reduce(DataFrame.union, [
         join_cells(whole_edges(r, "rid", "2"), whole_edges(l, "lid", ""), crowded).where(
             "xa <= xb2 AND xa2 <= xb AND least(ya, yb) <= greatest(ya2, yb2)"
@@ -97,14 +101,14 @@ def match_polygons(
 
     def marks(df, key):
         """One vertex of every ring, numbered by its polygon."""
-        return df.select(key, F.explode("geometry").alias("ring")).select(
-            key,
+        return df.select(F.col(key).alias("pt"), F.explode("geometry").alias("ring")).select(
+            "pt",
             F.get("ring.pts", F.lit(0))["x"].alias("x"),
             F.get("ring.pts", F.lit(0))["y"].alias("y"),
         )
 
-    held = match_points(a, marks(b, "rid"), "lid", "rid", cell, crowd).select("lid", "rid")
-    holds = match_points(b, marks(a, "lid"), "rid", "lid", cell, crowd).select("lid", "rid")
+    held = _holding(left_records, marks(b, "rid"), cell, crowd).selectExpr("poly AS lid", "pt AS rid")
+    holds = _holding(right_records, marks(a, "lid"), cell, crowd).selectExpr("pt AS lid", "poly AS rid")
     return (
         meeting.union(held).union(holds).distinct()
         .select(F.col("lid").alias(left_id), F.col("rid").alias(right_id))

@@ -30,49 +30,57 @@ def pome_orchards_by_net(land_cover: DataFrame, nets: DataFrame) -> DataFrame:
     return land_cover.join(t.first_by_key(pairs, "FID", ["net"]).drop("net"), "FID")
 
 
-def landscape_of(targets: DataFrame, key: str, land_cover: DataFrame, nets: DataFrame, organic: DataFrame, radius: float) -> DataFrame:
-    """``key``, seven land-cover shares of the covered area, and shares of organic and netted orchards.
+def landscape_of(
+    targets: DataFrame, key: str, land_cover: DataFrame, nets: DataFrame, organic: DataFrame, radius: float, vegetation: DataFrame | None = None
+) -> DataFrame:
+    """``key``, seven land-cover shares of the covered area, shares of organic and netted orchards, and, with
+    ``vegetation``, seven shares of it.  All layers go through one overlay, as themes of one layer.
 
     ``targets``: ``key, x, y``.  Targets without land cover in their disc have no row.  ``percent_verger_bio`` is NULL where
-    there are no organic orchards, ``percent_of_orchards_with_nets`` where there are nets but no orchards.
+    there are no organic orchards, ``percent_of_orchards_with_nets`` where there are nets but no orchards, the shares of vegetation
+    where there is none at all.
     """
     at = discs(targets.select(key, "x", "y"), [radius])
-    nominal = F.lit(p.NOMINAL_DISC * radius * radius)
-    cover = overlay_polygons_discs(land_cover, at, ["Code_n1"])
-    wide = t.fill_zero(t.pivot_sum(cover, [key], "Code_n1", "area_m2", p.LAND_COVER, total="area_tot_buffer"), [*p.LAND_COVER.values()])
-    touched = match_polygons(
-        land_cover,
-        nets.where(F.col("Code_n3").cast("string").startswith("1") & F.col("filet").isin("oui", "mixte")).withColumnRenamed("FID", "net"),
-        "FID", "net",
-    ).select("FID").distinct()
-    one = F.lit(1).alias("one")
-    netted = overlay_polygons_discs(land_cover.join(touched, "FID").select("geometry", one), at, ["one"])
-    bio = overlay_polygons_discs(organic.select("geometry", one), at, ["one"])
-    joined = wide.join(netted.select(key, F.col("area_m2").alias("area_filets")), key, "left").join(
-        bio.select(key, F.col("area_m2").alias("area_AB")), key, "left"
-    )
-    joined = t.fill_zero(joined, ["area_filets"])
-    return joined.select(
-        key, *[t.share(k, "area_tot_buffer").alias(v) for k, v in SHARES.items()],
-        (F.col("area_AB") / nominal * 100.0).alias("percent_verger_bio"),
-        (F.col("area_filets") / nominal * 100.0).alias("percent_verger_filet"),
-        t.share("area_filets", "vergers").alias("percent_of_orchards_with_nets"),
-    )
+    nominal = p.NOMINAL_DISC * radius * radius
+    own = nets.where(F.col("Code_n3").cast("string").startswith("1") & F.col("filet").isin("oui", "mixte"))
+    touched = match_polygons(land_cover, own.withColumnRenamed("FID", "net"), "FID", "net").select("FID").distinct()
+
+    def theme(layer: DataFrame, name: str, kind) -> DataFrame:
+        return layer.select(F.lit(name).alias("theme"), kind.cast("string").alias("kind"), "geometry")
+
+    none = F.lit(None)
+    themes = theme(land_cover, "cover", F.col("Code_n1")).union(theme(land_cover.join(touched, "FID"), "net", none)).union(theme(organic, "bio", none))
+    if vegetation is not None:
+        themes = themes.union(theme(vegetation, "green", F.col("NATURE")))
+    areas = overlay_polygons_discs(themes, at, ["theme", "kind"])
+
+    def total(name: str, kind=None):
+        hit = F.col("theme") == name
+        return F.sum(F.when(hit if kind is None else hit & (F.col("kind") == str(kind)), F.col("area_m2")))
+
+    sums = areas.groupBy(key).agg(
+        total("cover").alias("_cover"), total("net").alias("_net"), total("bio").alias("_bio"), total("green").alias("_green"),
+        *[F.coalesce(total("cover", k), F.lit(0.0)).alias(v) for k, v in p.LAND_COVER.items()],
+        *[F.coalesce(total("green", k), F.lit(0.0)).alias(f"_{v}") for k, v in p.VEGETATION.items()],
+    ).where("_cover IS NOT NULL")
+    net = F.coalesce("_net", F.lit(0.0))
+    out = [
+        key, *[t.share(k, "_cover").alias(v) for k, v in SHARES.items()], (F.col("_bio") / nominal * 100.0).alias("percent_verger_bio"),
+        (net / nominal * 100.0).alias("percent_verger_filet"), t.share(net, "vergers").alias("percent_of_orchards_with_nets"),
+    ]
+    if vegetation is not None:
+        greens = {v: F.when(F.col("_green").isNotNull(), F.col(f"_{v}") / nominal * 100.0) for v in p.SEMI_NATURAL}
+        out += [*[c.alias(f"percent_{v}") for v, c in greens.items()], sum(greens.values()).alias("percent_ESN")]
+    return sums.select(*out)
 
 
 def orchard_landscape_table(
     orchards: DataFrame, organic: DataFrame, land_cover: DataFrame, nets: DataFrame, vegetation: DataFrame, radius: float = 500.0
 ) -> DataFrame:
-    """The landscape around every orchard, in 18 columns from ``FID_plot`` on, and the orchard's own columns and geometry.
-
-    Shares of vegetation are NULL for discs without any.
-    """
-    radius = float(radius)
+    """The landscape around every orchard, in 18 columns from ``FID_plot`` on, and the orchard's own columns and geometry."""
     at = g.centroids(orchards.select(F.col("FID").alias("FID_plot"), "geometry"))
-    own = t.fill_zero(landscape_of(at, "FID_plot", land_cover, nets, organic, radius), ["percent_verger_bio"])
-    green = p.semi_natural_share(at.withColumnRenamed("FID_plot", "id_plot"), vegetation, [radius])
-    green = green.drop("r").withColumnRenamed("id_plot", "FID_plot")
-    return own.join(green, "FID_plot", "left").join(orchards.withColumnRenamed("FID", "FID_plot"), "FID_plot")
+    own = t.fill_zero(landscape_of(at, "FID_plot", land_cover, nets, organic, float(radius), vegetation), ["percent_verger_bio"])
+    return own.join(orchards.withColumnRenamed("FID", "FID_plot"), "FID_plot")
 
 
 def _tagged(table: DataFrame, points: DataFrame, point_id: str) -> DataFrame:

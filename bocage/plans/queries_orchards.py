@@ -8,6 +8,7 @@ from ..functions import geometry as g
 from ..functions import projection as pr
 from ..operators import stats, tables
 from ..operators.cleaning import clean_layer
+from ..operators.shared import written
 from . import landscape as p
 from . import orchards as o
 from . import queries as q
@@ -66,9 +67,9 @@ def _points(spark, d):
 
 def _orchards(spark, d):
     """Orchards by the code of their net-layer feature, with their organic ratio, and those that are organic."""
-    own = o.pome_orchards_by_net(q.land_cover(spark, d), q.nets(spark, d))
-    found = p.organic_orchards(own, q.organic(spark, d))
-    return p.organic_flag_all_orchards(own, found), found
+    own = written(o.pome_orchards_by_net(q.land_cover(spark, d), q.nets(spark, d)), "orchards")
+    found = written(p.organic_orchards(own, q.organic(spark, d)), "organic")
+    return written(p.organic_flag_all_orchards(own, found), "flagged"), found
 
 
 def landscape(spark, d):
