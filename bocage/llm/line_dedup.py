@@ -163,6 +163,7 @@ def _candidates(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.minimum(a, b), np.maximum(a, b), place
 
 
+WORDS = 8  # longs of parities: 512 bits
 BAND, PAIR, MEMBER = 0, 1, 2  # kinds of rows: (key, id), (id, id), (crowded key, id)
 
 
@@ -253,9 +254,20 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """``8 * WORDS`` bytes as longs: for each bit whether an odd number of the shingles hash to it.
+
+    The bits in which two lines differ come from shingles that only one of them has, each from
+    another one: lines differ in at least as many shingles as bits.
+    """
+    bit = (_mix(tokens, np.uint64(SEED + 1)) % np.uint64(64 * WORDS)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def rare_shingles(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``id, root, size, place, token`` of ``id, root, line``: of every line the first shingles in
-    one order of all shingles, so many that lines with the similarity share one.
+    """``id, root, size, place, token`` and ``parities`` ``p0, p1`` … of ``id, root, line``: of every line the first
+    shingles in one order of all shingles, so many that lines with the similarity share one.
 
     Shingles of thinly filled buckets come first.  Any fixed order is exact; this one keeps
     shingles that very many lines have out of the way.  A shingle alone in its bucket is in
@@ -266,25 +278,29 @@ def rare_shingles(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 50):  # shingles of few lines at a time
-                some, held = frame.iloc[at : at + 50], []
+                some, held, odd = frame.iloc[at : at + 50], [], []
                 for row, line in enumerate(some["line"]):
                     tokens = shingle_ids(line)
                     size = len(tokens)
                     n = counts[_bucket(tokens)]
                     first = np.lexsort((tokens, n))[: size - math.ceil(size * similarity - 1e-9) + 1]
                     place = np.flatnonzero(n[first] > 1)
+                    odd.append(parities(tokens))
                     held.append((np.full(len(place), row), np.full(len(place), size), place, tokens[first[place]].view(np.int64)))
                 row, size, place, token = (np.concatenate(x) for x in zip(*held))
                 own = {c: some[c].to_numpy()[row] for c in ("id", "root")}
-                yield pd.DataFrame(own | {"size": size, "place": place, "token": token})
+                bits = {f"p{i}": column[row] for i, column in enumerate(np.stack(odd, 1))}
+                yield pd.DataFrame(own | {"size": size, "place": place, "token": token} | bits)
 
-    return texts.select("id", "root", "line").mapInPandas(run, "id long, root long, size long, place long, token long")
+    schema = "id long, root long, size long, place long, token long" + "".join(f", p{i} long" for i in range(WORDS))
+    return texts.select("id", "root", "line").mapInPandas(run, schema)
 
 
 def crowded_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs ``a < b`` that may link different components inside crowded band values.
 
-    Exact: every pair of such lines with at least ``similarity`` is among them.
+    Exact: every pair of such lines with at least ``similarity`` is among them.  Lines that share a
+    shingle are compared by their parities inside the join, which leaves few that are not alike.
     """
     placed = members.join(small(roots), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     placed = saved(placed, "members")
@@ -294,13 +310,15 @@ def crowded_candidates(texts: DataFrame, members: DataFrame, roots: DataFrame, s
     rare = saved(rare_shingles(texts.join(small(open_), "id"), similarity), "rare-shingles")
     x, y = rare.alias("x"), rare.alias("y")
     share = similarity / (1 + similarity)
+    differ = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(WORDS))
     most = F.least(F.expr("x.size - x.place"), F.expr("y.size - y.place"))  # can be shared from here on
     return (
         x.join(
             y,
             F.expr("x.token = y.token AND x.id < y.id AND x.root <> y.root")
             & (most >= (F.expr("x.size + y.size")) * share - 1e-9)
-            & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity - 1e-9),
+            & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity - 1e-9)
+            & (F.expr(differ) <= F.expr("x.size + y.size") * ((1 - similarity) / (1 + similarity)) + 1e-9),
         )
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()

@@ -514,3 +514,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(same) >= 0.97 * len(same)  # a cut inside a character drops the rest of it
     before, after = steps["packing"]
     assert {r.doc_id for r in after.collect()} == {i for i, _ in before}
+
+
+def test_parities_never_overstate_a_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        common = rng.integers(0, 2**63, rng.integers(1, 900), dtype=np.uint64)
+        own = [np.unique(np.concatenate([common, rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(2)]
+        bits = [line_dedup.parities(t) for t in own]
+        differ = sum(int(x).bit_count() for x in (bits[0] ^ bits[1]).view(np.uint64))
+        assert len(bits[0]) == line_dedup.WORDS and differ <= len(np.setxor1d(*own))
