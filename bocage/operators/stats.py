@@ -58,12 +58,17 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]], subsets: dict[str,
             known = F.col(x).isNotNull() & F.col(y).isNotNull()
             known = known if keep is None else known & keep
             a, b = F.when(known, F.col(x).cast("double")), F.when(known, F.col(y).cast("double"))
-            cells += [F.count(F.when(known, 1)).alias(f"n{i}_{j}"), F.corr(a, b).alias(f"r{i}_{j}"),
-                      F.min(a).alias(f"a{i}_{j}"), F.max(a).alias(f"b{i}_{j}"), F.min(b).alias(f"c{i}_{j}"), F.max(b).alias(f"d{i}_{j}")]
-            varies = (F.col(f"a{i}_{j}") < F.col(f"b{i}_{j}")) & (F.col(f"c{i}_{j}") < F.col(f"d{i}_{j}"))
+            tag = f"{i}_{j}"
+            cells += [
+                F.count(F.when(known, 1)).alias(f"n{tag}"), F.covar_pop(a, b).alias(f"s{tag}"),
+                F.stddev_pop(a).alias(f"u{tag}"), F.stddev_pop(b).alias(f"v{tag}"),
+                F.min(a).alias(f"a{tag}"), F.max(a).alias(f"b{tag}"), F.min(b).alias(f"c{tag}"), F.max(b).alias(f"d{tag}"),
+            ]
+            varies = (F.col(f"a{tag}") < F.col(f"b{tag}")) & (F.col(f"c{tag}") < F.col(f"d{tag}"))
+            r = F.try_divide(F.col(f"s{tag}"), F.col(f"u{tag}") * F.col(f"v{tag}"))
             one.append(F.struct(
                 F.lit(name).alias("subset"), F.lit(x).alias("x"), F.lit(y).alias("y"),
-                F.col(f"n{i}_{j}").alias("n"), F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"r{i}_{j}")))).alias("r"),
+                F.col(f"n{tag}").alias("n"), F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
             ))
     rows = df.agg(*cells).select(F.inline(F.array(*one)))
     z, half = F.atanh("r"), F.try_divide(F.lit(Z_95), F.sqrt(F.when(F.col("n") > 3, F.col("n") - 3)))

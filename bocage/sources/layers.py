@@ -60,7 +60,7 @@ def write_indexed_layer(layer: DataFrame, path: str, kind: str = "polygon", row_
     geometry have no box and no place: they come first.
     """
     points = F.flatten(F.transform("geometry", lambda r: r["pts"]))
-    xs, ys = (F.transform(points, lambda q, v=v: q[v]) for v in ("x", "y"))
+    xs, ys = F.transform(points, lambda q: q["x"]), F.transform(points, lambda q: q["y"])
     boxed = layer.withColumns({"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
     near = lambda a, b: f"CAST(pmod(floor(({a} + {b}) / 2 / {grid_m!r}D) + 32768, 65536) AS BIGINT)"
     placed = boxed.selectExpr("*", f"{near('xmin', 'xmax')} AS _zx", f"{near('ymin', 'ymax')} AS _zy").selectExpr("*", f"{_interleaved('_zx', '_zy')} AS _z")
