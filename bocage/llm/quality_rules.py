@@ -1,14 +1,21 @@
 """Quality rules for documents: plain counts, and bands of perplexity per language.
 
-Method.  A modified Kneser-Ney model of three words.  A word is named by a 64-bit hash, the
-two words before a text's first one are edges.  Spark counts the n-grams of all whole texts,
-and derives from these counts the continuation counts, discounts and weights of every order
-and the log probability of every n-gram seen; the n-grams of the documents are joined to it.
-Per language, documents whose mean log perplexity lies more than ``width`` robust deviations
-below or above the median of that language are rejected; median and deviation are taken over
+Method.  Modified Kneser-Ney models of three words, one per language and half of the texts.
+A word is named by a 64-bit hash seeded by its language, so that languages share no n-gram;
+a word of its own stands for the two before a text's first one.  The least hash of a text's
+n-grams deals it to one of two halves, and it is scored by the model of the other half: no text
+vouches for itself; copies lie in one half, near copies with a similarity of s in n-grams
+with a probability of (1 + s) / 2, and so do not vouch for each other either.  Spark counts
+the n-grams of both halves side by side and derives from these counts the continuation
+counts, discounts and weights of every order, and the log probability that either model
+gives to every n-gram of the other half; what a model has not seen falls back on shorter
+n-grams, and an unseen word on the weight that the lowest order keeps for one.  The n-grams
+of the documents are joined to these.  Discounts are of all languages of a half together.
+Per language, documents whose mean log perplexity lies more than ``low`` robust deviations
+below or ``high`` above the median of that language are rejected; median and deviation are taken over
 all documents of the language that pass the counts.
 
-Scale.  The model is a table of one row per distinct n-gram, which grows with the texts and
+Scale.  The models are one table with a row per distinct n-gram, which grows with the texts and
 is never gathered or broadcast; all that reaches the driver are counts of counts.  Words go
 through the shuffle as hashes, once for the counts and once for the scores.
 """
@@ -16,7 +23,6 @@ through the shuffle as hashes, once for the counts and once for the scores.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,37 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import saved, small
 
-ORDER, BITS = 4, 6  # of the character model, which only a test still asks for
-WIDTH = 8.0  # robust deviations on either side of the median
+HALVES = (0, 1)
+LOW, HIGH = 15.0, 5.0  # robust deviations below and above the median; near copies dealt apart lie about 13 below
 LEAST_SPREAD = 0.02  # of log perplexity; languages of equal texts keep a band
 UNITS = 1e9  # parts of a log probability that are summed, as whole numbers: order does not matter
 SYMBOLS = b"#*$%&|<>"
 
 
-@cache
-def _classes() -> np.ndarray:
-    """Class of every character below U+0080; 0 is the edge of a text."""
-    table = np.full(128, 56, dtype=np.uint32)
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    table[ord("A") : ord("Z") + 1] = np.arange(27, 53)
-    table[[9, 10, 11, 12, 13, 32]] = 53
-    table[ord("0") : ord("9") + 1] = 54
-    table[[ord("."), ord(",")]] = 55
-    table[list(SYMBOLS)] = 57
-    return table
-
-
-def gram_keys(text: str) -> np.ndarray:
-    """Key of the n-gram that ends at each character."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    own = np.where(points < 128, _classes()[np.minimum(points, 127)], 58 + points % 6).astype(np.int32)
-    padded = np.r_[np.zeros(ORDER - 1, dtype=np.int32), own]
-    keys = np.zeros(len(own), dtype=np.int32)
-    for i in range(ORDER):
-        keys = (keys << BITS) | padded[i : i + len(own)]
-    return keys
-
-
 def discounts(of: list[int]) -> list[float]:
     """What modified Kneser-Ney takes from counts of 0, 1, 2 and more; ``of``: how many
     n-grams have the counts 1 to 4."""
@@ -64,34 +46,6 @@ def discounts(of: list[int]) -> list[float]:
     return [0.0] + [min(max(i - (i + 1) * y * of[i] / max(of[i - 1], 1), 0.1 * i), 0.9 * i) for i in (1, 2, 3)]
 
 
-def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Model from the counts of the highest order, lowest order first.  Per order: sorted keys,
-    their discounted probability, sorted contexts, the weight of the lower order in them."""
-    levels = []
-    for order in range(ORDER, 0, -1):
-        of = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-        cut = np.array(discounts(of))[np.minimum(counts, 3)]
-        contexts, at = np.unique(keys >> BITS, return_inverse=True)
-        total = np.bincount(at, weights=counts)
-        levels.append((keys, (counts - cut) / total[at], contexts, np.bincount(at, weights=cut) / total))
-        # a lower order counts the different classes before an n-gram
-        keys, counts = np.unique(keys & ((1 << BITS * (order - 1)) - 1), return_counts=True)
-    return levels[::-1]
-
-
-def log_probabilities(model: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Log probability of every possible n-gram, as the interpolated model gives it."""
-    p = np.full(1, 1.0 / (1 << BITS), dtype=np.float32)
-    for order, (keys, own, contexts, weight) in enumerate(model, 1):
-        lower = np.ones(1 << BITS * (order - 1), dtype=np.float32)
-        lower[contexts] = weight
-        # an n-gram falls back on the one without its first class
-        short = p if order > 1 else np.repeat(p, 1 << BITS)
-        p = np.tile(short, 1 << BITS if order > 1 else 1) * np.repeat(lower, 1 << BITS)
-        p[keys] += own.astype(np.float32)
-    return np.log(np.maximum(p, 1e-12))
-
-
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
     if not text:
@@ -118,73 +72,105 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """The words of a text as 64-bit hashes; words as in ``base_counts``."""
+def word_hashes(text: str | None, seed: int = 0) -> np.ndarray:
+    """The words of a text as 64-bit hashes after two of the edge; words as in ``base_counts``.
+    Empty where there is no word."""
+    seed &= (1 << 64) - 1
+    edge = xxhash.xxh64_intdigest(b"", seed)
     known: dict[bytes, int] = {}
-    out = []
+    out = [edge, edge]
     for w in (text or "").encode("utf-8", "surrogatepass").split():
         h = known.get(w)
         if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
+            h = known[w] = xxhash.xxh64_intdigest(w, seed)
         out.append(h)
-    return np.array(out, dtype=np.uint64).view(np.int64)
+    return np.array(out if len(out) > 2 else [], dtype=np.uint64).view(np.int64)
+
+
+def half_of(words: np.ndarray) -> int:
+    """0 or 1 by the least hash of the n-grams of ``word_hashes``."""
+    if not len(words):
+        return 0
+    with np.errstate(over="ignore"):
+        w = words.view(np.uint64)
+        x = (w[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ w[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) ^ w[2:]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # every bit depends on all
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return int(x.min() & np.uint64(1))
 
 
 def word_grams(words: DataFrame) -> DataFrame:
-    """``row, a, b, c`` per word c of ``row, words``; a and b are the words before, or 0."""
-    edge = lambda n: F.concat(F.array(*[F.lit(0).cast("long")] * n), "words")
-    zipped = F.arrays_zip(edge(2).alias("a"), edge(1).alias("b"), F.col("words").alias("c"))
-    return words.select("row", F.inline(F.slice(zipped, F.lit(1), F.size("words"))).alias("a", "b", "c"))
+    """``row, half, lang, a, b, c`` per word c of ``row, half, lang, words``; a and b are the two before."""
+    n = F.greatest(F.size("words") - 2, F.lit(0))
+    zipped = F.arrays_zip(*[F.slice("words", F.lit(i), n).alias(c) for i, c in enumerate("abc", 1)])
+    return words.select("row", "half", "lang", F.inline(zipped).alias("a", "b", "c"))
+
 
+def _cuts(counts: DataFrame) -> list[list[float]]:
+    """Discounts of both halves."""
+    of = [F.count_if(F.col(f"n{h}") == i).alias(f"of{h}{i}") for h in HALVES for i in (1, 2, 3, 4)]
+    found = counts.agg(*of).first()
+    return [discounts([found[f"of{h}{i}"] for i in (1, 2, 3, 4)]) for h in HALVES]
 
-def _discounted(counts: DataFrame, n: str) -> tuple[list[float], Column]:
-    found = {r[0]: r[1] for r in counts.groupBy(F.least(n, F.lit(5))).count().collect()}  # at most 5 rows
-    cuts = discounts([found.get(i, 0) for i in (1, 2, 3, 4)])
-    return cuts, F.col(n) - F.element_at(F.array(*map(F.lit, cuts[1:])), F.least(n, F.lit(3)).cast("int"))
 
+def _contexts(counts: DataFrame, cuts: list[list[float]], *by: str) -> DataFrame:
+    """Per context and half its total, what the discounts take from it, and how many n-grams it has."""
+    found = []
+    for h in HALVES:
+        n = F.col(f"n{h}")
+        of = [F.count_if(n == 1), F.count_if(n == 2), F.count_if(n >= 3)]
+        taken = sum((c * cut for c, cut in zip(of, cuts[h][1:])), F.lit(0.0))
+        found += [F.sum(n).alias(f"total{h}"), taken.alias(f"taken{h}"), F.count_if(n > 0).alias(f"kinds{h}")]
+    return counts.groupBy(*by).agg(*found)
 
-def _contexts(counts: DataFrame, n: str, cuts: list[float], *by: str) -> DataFrame:
-    """Per context its total and the weight of the lower order in it."""
-    of = [F.count_if(F.col(n) == i) for i in (1, 2)] + [F.count_if(F.col(n) >= 3)]
-    taken = sum((c * cut for c, cut in zip(of, cuts[1:])), F.lit(0.0))
-    return counts.groupBy(*by).agg(F.sum(n).alias("total"), (taken / F.sum(n)).alias("weight"))
+
+def _interpolated(h: int, cuts: list[list[float]], lower: Column) -> Column:
+    """``p`` of half h; a context that the half has not seen leaves it to the lower order."""
+    n, total = F.col(f"n{h}"), F.col(f"total{h}")
+    own = n - F.element_at(F.array(*map(F.lit, cuts[h])), F.least(n, F.lit(3)).cast("int") + 1)
+    return F.when(total > 0, (own + F.col(f"taken{h}") * lower) / total).otherwise(lower).alias(f"p{h}")
 
 
 def word_model(grams: DataFrame) -> DataFrame:
-    """``a, b, c, p``: interpolated modified Kneser-Ney probability of every n-gram seen."""
-    three = saved(grams.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "three")
-    # lower orders count the different words before an n-gram
-    two = saved(three.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "two")
-    one = saved(two.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "one")
-    cuts, rest = _discounted(one, "n")
-    whole = _contexts(one, "n", cuts).crossJoin(one.agg(F.count(F.lit(1)).alias("kinds"))).first()
-    low = one.select("c", (rest / F.lit(whole.total) + F.lit(whole.weight) / F.lit(whole.kinds)).alias("p"))
-    cuts, rest = _discounted(two, "n")
-    middle = two.join(_contexts(two, "n", cuts, "b"), "b").join(low, "c").select(
-        "b", "c", (rest / F.col("total") + F.col("weight") * F.col("p")).alias("p")
+    """``a, b, c, p0, p1``: the interpolated modified Kneser-Ney probability of every n-gram of
+    either half, by the model of half 0 and by that of half 1."""
+    kinds = [F.count_if(F.col(f"n{h}") > 0).alias(f"n{h}") for h in HALVES]  # different words before an n-gram
+    three = saved(grams.groupBy("lang", "a", "b", "c").agg(*[F.count_if(F.col("half") == h).alias(f"n{h}") for h in HALVES]), "three")
+    two = saved(three.groupBy("lang", "b", "c").agg(*kinds), "two")
+    one = saved(two.groupBy("lang", "c").agg(*kinds), "one")
+    cuts = _cuts(one)
+    whole = small(saved(_contexts(one, cuts, "lang"), "languages"))
+    # one part of the lowest weight is for words that the half has not seen
+    low = one.join(whole, "lang").select(
+        "c", *[_interpolated(h, cuts, 1 / (F.col(f"kinds{h}") + 1)).alias(f"low{h}") for h in HALVES]
+    )
+    cuts = _cuts(two)
+    middle = two.join(_contexts(two, cuts, "b"), "b").join(low, "c").select(
+        "b", "c", *[_interpolated(h, cuts, F.col(f"low{h}")).alias(f"low{h}") for h in HALVES]
     )
-    cuts, rest = _discounted(three, "n")
-    return three.join(_contexts(three, "n", cuts, "a", "b"), ["a", "b"]).join(middle, ["b", "c"]).select(
-        "a", "b", "c", (rest / F.col("total") + F.col("weight") * F.col("p")).alias("p")
+    cuts = _cuts(three)
+    return three.join(_contexts(three, cuts, "a", "b"), ["a", "b"]).join(middle, ["b", "c"]).select(
+        "a", "b", "c", *[_interpolated(h, cuts, F.col(f"low{h}")) for h in HALVES]
     )
 
 
 def losses(words: DataFrame) -> DataFrame:
-    """``row, loss``: minus the log probabilities of a row's words, summed."""
+    """``row, loss``: minus the log probabilities of a row's words by the other half, summed."""
     grams = word_grams(words)
     key = F.xxhash64("a", "b", "c").alias("key")  # a third of the words themselves
-    loss = F.round(-F.log("p") * UNITS).cast("long").alias("loss")
-    model = saved(word_model(grams).select(key, loss), "model")
-    asked = grams.select("row", key)
-    return asked.join(model, "key").groupBy("row").agg((F.sum("loss") / UNITS).alias("loss"))
+    parts = [F.round(-F.log(f"p{h}") * UNITS).cast("long").alias(f"loss{h}") for h in HALVES]
+    model = saved(word_model(grams).select(key, *parts), "model")
+    asked = grams.select("row", "half", key)
+    loss = F.when(F.col("half") == 0, F.col("loss1")).otherwise(F.col("loss0"))
+    return asked.join(model, "key").groupBy("row").agg((F.sum(loss) / UNITS).alias("loss"))
 
 
-def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", width: float = WIDTH) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", low: float = LOW, high: float = HIGH) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``kept``, ``log_perplexity``.
 
     log_perplexity is the mean over words; null where there are none.  Null or empty text: no
-    words, base_failed.  Null lang: a language of its own.  Repeated
-    rows and ids: each row is judged.  Empty table: no rows.  Other columns are not read.
+    words, base_failed.  Null lang: a language of its own.  A language with texts in one half
+    only: log_perplexity 0.  Repeated rows and ids: each row is judged.  Empty table: no rows.  Other columns are not read.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,18 +179,21 @@ def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: st
             for at in range(0, len(frame), 500):  # words of few documents at a time
                 some = frame.iloc[at : at + 500].reset_index(drop=True)
                 out = pd.DataFrame([base_counts(t) for t in some["text"]], columns=names)
+                words = [word_hashes(t, int(v)) for t, v in zip(some["text"], some["voice"])]
                 yield out.assign(
                     row=some["row"], doc_id=some["doc_id"].astype("Int64"), lang=some["lang"],
-                    words=[word_hashes(t) for t in some["text"]],
-                )[["row", "doc_id", "lang", *names, "words"]]
+                    half=[half_of(w) for w in words], voice=some["voice"], words=words,
+                )[["row", "doc_id", "lang", "half", "voice", *names, "words"]]
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"),
-    )
-    words = saved(rows.mapInPandas(run, f"row long, doc_id long, lang string, {BASE}, words array<long>"), "words")
+    ).withColumn("voice", F.xxhash64(F.coalesce("lang", F.lit("\0"))))
+    kinds = f"row long, doc_id long, lang string, half int, voice long, {BASE}, words array<long>"
+    words = saved(rows.mapInPandas(run, kinds), "words")
+    dealt = words.select("row", "half", F.col("voice").alias("lang"), "words")
     counted = (
-        words.drop("words").join(losses(words.select("row", "words")), "row", "left")
+        words.drop("words", "half", "voice").join(losses(dealt), "row", "left")
         .withColumn("log_perplexity", F.col("loss") / F.col("n_words")).drop("row", "loss")
     )
     own = saved(
@@ -215,15 +204,15 @@ def judged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: st
     spread = F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("mid")), 0.5, 10000)
     bands = saved(
         fair.join(middle, "lang").groupBy("lang", "mid").agg(
-            (F.greatest(spread * 1.4826, F.lit(LEAST_SPREAD)) * width).alias("reach")
+            F.greatest(spread * 1.4826, F.lit(LEAST_SPREAD)).alias("deviation")
         ),
         "bands",
     ).withColumnRenamed("lang", "of")
-    inside = F.abs(F.col("log_perplexity") - F.col("mid")) <= F.col("reach")
+    inside = ((F.col("log_perplexity") - F.col("mid")) / F.col("deviation")).between(-low, high)
     return (
         own.join(small(bands), F.coalesce("lang", F.lit("\0")) == F.col("of"), "left")
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
-        .drop("of", "mid", "reach", "lang")
+        .drop("of", "mid", "deviation", "lang")
     )
 
 

@@ -331,39 +331,50 @@ def test_quality_rules(docs, rows, nothing):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert not (r.base_failed and r.kept)
     assert sum(r.kept for r in got) >= 18  # prose
-    keys, counts = np.unique(np.concatenate([quality_rules.gram_keys(r[1]) for r in rows if r[1]]), return_counts=True)
-    p = np.exp(quality_rules.log_probabilities(quality_rules.kneser_ney(keys.astype(np.int64), counts)).astype(float))
-    assert p.reshape(-1, 64).sum(axis=1)[np.unique(keys >> 6)] == pytest.approx(1, abs=1e-3)
     assert quality_rules.judged(nothing).isEmpty()
 
 
-def test_word_model_by_brute_force(spark):
-    """Every probability from plain counts; over all followers of a context they sum to 1."""
+def test_word_models_by_brute_force(spark):
+    """Every probability of both halves from plain counts; over all words of a context and an unseen one they sum to 1."""
     rng = random.Random(8)
-    texts = [_prose(rng, 60) for _ in range(20)] + ["слово за словом в строке", "λόγος 日本 word", ""]
-    rows = [(i, quality_rules.word_hashes(t).tolist()) for i, t in enumerate(texts)]
-    words = spark.createDataFrame(rows, "row long, words array<long>").repartition(3)
-    padded = [[0, 0, *w] for _, w in rows]
-    counts = [Counter(tuple(w[i : i + 3]) for w in padded for i in range(len(w) - 2))]
-    for _ in range(2):
-        counts.append(Counter(k[1:] for k in counts[-1]))
-
-    def probability(key, level):
-        if level == 3:
-            return 1 / len(counts[2])
-        same = {k: n for k, n in counts[level].items() if k[:-1] == key[:-1]}
-        cuts = quality_rules.discounts([sum(n == i for n in counts[level].values()) for i in (1, 2, 3, 4)])
-        cut = {k: cuts[min(n, 3)] for k, n in same.items()}
-        total = sum(same.values())
-        return (same.get(key, 0) - cut.get(key, 0)) / total + sum(cut.values()) / total * probability(key[1:], level + 1)
-
+    texts = [_prose(rng, 60) for _ in range(20)] + ["слово за словом в строке", "λόγος 日本 word", "", "слово за слово"]
+    rows = [(i, i % 2, i // 8, quality_rules.word_hashes(t, i // 8).tolist()) for i, t in enumerate(texts)]
+    words = spark.createDataFrame(rows, "row long, half int, lang long, words array<long>").repartition(3)
     grams = quality_rules.word_grams(words)
-    got = {(r.a, r.b, r.c): r.p for r in quality_rules.word_model(grams).collect()}
-    assert got == pytest.approx({k: probability(k, 0) for k in counts[0]})
-    a, b, _ = next(iter(got))
-    assert sum(probability((a, b, c), 0) for (c,) in counts[2]) == pytest.approx(1)
-    want = {i: -sum(np.log(got[tuple(w[k : k + 3])]) for k in range(len(w) - 2)) for i, w in enumerate(padded) if w[2:]}
-    assert {r.row: r.loss for r in quality_rules.losses(words).collect()} == pytest.approx(want, abs=1e-6)
+    got = {(r.a, r.b, r.c): (r.p0, r.p1) for r in quality_rules.word_model(grams).collect()}
+    want: dict = {}
+    for half in (0, 1):
+        lang = {w: v for _, _, v, ws in rows for w in ws}
+        counts = [Counter(tuple(ws[i : i + 3]) for _, h, _, ws in rows if h == half for i in range(len(ws) - 2))]
+        for _ in range(2):
+            counts.append(Counter(k[1:] for k in counts[-1]))
+        cuts = [quality_rules.discounts([sum(n == i for n in c.values()) for i in (1, 2, 3, 4)]) for c in counts]
+
+        def probability(key, level=0):
+            if level < 2:
+                same = {k: n for k, n in counts[level].items() if k[:-1] == key[:-1]}
+                lower = lambda: probability(key[1:], level + 1)
+            else:
+                same = {k: n for k, n in counts[2].items() if lang[k[0]] == of}
+                lower = lambda: 1 / (len(same) + 1)
+            total = sum(same.values())
+            if not total:
+                return lower()
+            taken = {k: cuts[level][min(n, 3)] for k, n in same.items()}
+            return (same.get(key, 0) - taken.get(key, 0) + sum(taken.values()) * lower()) / total
+
+        for key in got:
+            of = lang[key[2]]
+            want.setdefault(key, []).append(probability(key))
+        for a, b, c in list(got)[:5]:
+            of = lang[c]
+            seen = [w for (w,) in counts[2] if lang[w] == of]
+            assert sum(probability((a, b, w)) for w in [*seen, 0]) == pytest.approx(1)
+    assert set(got) == {tuple(ws[i : i + 3]) for _, _, _, ws in rows for i in range(len(ws) - 2)}
+    for key, p in got.items():
+        assert p == pytest.approx(tuple(want[key]))
+    lost = {r[0]: -sum(np.log(got[tuple(r[3][k : k + 3])][1 - r[1]]) for k in range(len(r[3]) - 2)) for r in rows if r[3]}
+    assert {r.row: r.loss for r in quality_rules.losses(words).collect()} == pytest.approx(lost, abs=1e-6)
 
 
 def test_words_in_senseless_order_and_other_scripts_are_seen(spark):
@@ -379,6 +390,45 @@ def test_words_in_senseless_order_and_other_scripts_are_seen(spark):
         assert got.pop(39) > 1.3 * max(got.values())
 
 
+def test_bands_by_brute_force(spark):
+    """Random letters and words of all languages are rejected, prose stays; the bands are those of plain medians."""
+    docs = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    words = sorted({w for r in docs.collect() for w in (r.text or "").split()})
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    odd = [(10**6 + i, " ".join(letters() for _ in range(200)), "en") for i in range(10)]
+    odd += [(2 * 10**6 + i, " ".join(rng.choice(words) for _ in range(200)), "en") for i in range(10)]
+    got = quality_rules.judged(docs.union(spark.createDataFrame(odd, docs.schema))).collect()
+    assert not any(r.kept for r in got if r.doc_id >= 10**6)
+    fair = [r for r in got if r.doc_id < 10**6 and not r.base_failed]
+    symbols = lambda r: 20 * r.n_symbols > r.word_chars
+    prose = [r for r in fair if not symbols(r)]
+    assert sum(r.kept for r in prose) >= 0.99 * len(prose)
+    assert sum(not r.kept for r in fair if symbols(r)) >= 10
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    for of in ("de", "en", "es", "fr"):
+        mine = [r for r in got if not r.base_failed and lang.get(r.doc_id, "en") == of]
+        x = np.array([r.log_perplexity for r in mine])
+        middle = np.quantile(x, 0.5, method="inverted_cdf")
+        deviation = max(1.4826 * np.quantile(np.abs(x - middle), 0.5, method="inverted_cdf"), quality_rules.LEAST_SPREAD)
+        z = (x - middle) / deviation
+        assert [r.kept for r in mine] == [-quality_rules.LOW <= v <= quality_rules.HIGH for v in z]
+
+
+def test_near_copies_lie_in_one_half():
+    rng = random.Random(6)
+    same = 0
+    for _ in range(300):
+        words = _prose(rng, 200).split()
+        words[rng.randrange(200)] = "other"
+        near = " ".join(words)
+        words[rng.randrange(200)] = "words"
+        same += quality_rules.half_of(quality_rules.word_hashes(near)) == quality_rules.half_of(quality_rules.word_hashes(" ".join(words)))
+    assert same >= 285
+    halves = [quality_rules.half_of(quality_rules.word_hashes(_prose(rng, 50))) for _ in range(400)]
+    assert 150 < sum(halves) < 250 and quality_rules.half_of(quality_rules.word_hashes(None)) == 0
+
+
 def test_license_scan(spark, docs, nothing):
     mit = license_scan.KNOWN["MIT"][0]
     texts = [mit, "Copyright (c) 2020 A. Writer\n" + mit.upper(), mit.replace("sublicense", "sub-licence"), mit + " plus", None, "", "é"]
