@@ -1,8 +1,12 @@
 """Documents that are, as a whole, a known licence text.
 
-Method (canonical digest lookup).  A text is brought to a canonical form: A-Z lower, lines
-that begin with a copyright mark dropped, punctuation and white space as single spaces,
-equivalent spellings made one.  The SHA-256 digest of the form is looked up among the digests
+Method (canonical digest lookup).  A text is brought to a canonical form: A-Z lower, copyright
+notices dropped, punctuation and white space as single spaces, equivalent spellings made one.
+A notice is a line that begins with "copyright" and a mark or a year, or with a mark and a
+year, the first line of a text if it begins with "copyright", and the words "all rights
+reserved".  Blank forms of a notice, and the notice of a licence's own publisher, which stand
+inside licence texts, are found across line breaks, so that a text with other breaks has the
+same form; other words after "copyright" are running text and stay.  The SHA-256 digest of the form is looked up among the digests
 of known licences, which went through the same steps.  Only built-in functions are used, no
 row is shuffled: the table of licences is a parameter of fixed size and is broadcast.
 """
@@ -17,8 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-BLANK = "[\\x00-/:-`{-\\x7f“”‘’«»–—…•©]+"
+_GAP = r"[ \t\r\n]"
+_MARK = r"(\(c\)|©)"
+_FIELD = rf"([<\[{{][^>\]}}]*[>\]}}]|_+|year|yyyy|19yy|name{_GAP}+of{_GAP}+author|your{_GAP}+name)"
+# What goes or is put differently, in this order, after A-Z are lower.
+NOTICES = [
+    (rf"copyright{_GAP}*{_MARK}?[0-9, \t\r\n-]*free{_GAP}+software{_GAP}+foundation", " free software foundation "),
+    (rf"copyright{_GAP}*{_MARK}?{_GAP}*{_FIELD}({_GAP}*,?{_GAP}*{_FIELD})*", " "),
+    (rf"all{_GAP}+rights{_GAP}+reserved", " "),
+    (r"^[ \t\r\n]*copyright[^\n]*\n", "\n"),
+    (rf"(^|\n)[ \t]*(copyright[ \t]*({_MARK}|[0-9][0-9][0-9][0-9])|{_MARK}[ \t]*(copyright[ \t]*)?[0-9][0-9][0-9][0-9])[^\n]*", "\n"),
+]
+BLANK = "[\\x00-/:-`{-\\x7f“”‘’«»–—…•©\u0085   -​    　﻿]+"
 # Pairs of spellings that mean the same in licence texts.
 SPELLINGS = [
     ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
@@ -101,17 +115,14 @@ def _full_texts() -> dict[str, list[str]]:
     return found
 
 
-# Texts and notices of known licences.
+# Texts of known licences.
 KNOWN = {
-    "MIT": [_MIT, "MIT License\n\n" + _MIT, "The MIT License (MIT)\n\n" + _MIT, "Released under the MIT License."],
+    "MIT": [_MIT, "MIT License\n\n" + _MIT, "The MIT License (MIT)\n\n" + _MIT],
     "ISC": [_ISC + "\n\n" + _AS_IS, "ISC License\n\n" + _ISC + "\n\n" + _AS_IS],
     "0BSD": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
         "without fee is hereby granted.\n\n" + _AS_IS
     ],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "BSD-2-Clause": _bsd("Simplified BSD License\n\n", 2),
     "BSD-3-Clause": _bsd("New BSD License\n\n", 3),
 }
@@ -122,7 +133,9 @@ for _name, _texts in _full_texts().items():
 def canonical_text(text: str) -> str:
     """The canonical form in plain Python; for the known texts and for tests."""
     text = text.translate(str.maketrans(UPPER, LOWER))
-    text = re.sub(BLANK, " ", re.sub(COPYRIGHT_LINE, "\n", text)).strip(" ") + " "
+    for pattern, instead in NOTICES:
+        text = re.sub(pattern, instead, text)
+    text = re.sub(BLANK, " ", text).strip(" ") + " "
     for a, b in SPELLINGS:
         text = text.replace(a, b)
     return text
@@ -131,8 +144,9 @@ def canonical_text(text: str) -> str:
 def canonical(text: Column) -> Column:
     """The canonical form as a column."""
     text = F.translate(text, UPPER, LOWER)
-    text = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, "\n"), BLANK, " ")
-    text = F.concat(F.btrim(text, F.lit(" ")), F.lit(" "))
+    for pattern, instead in NOTICES:
+        text = F.regexp_replace(text, pattern, instead)
+    text = F.concat(F.btrim(F.regexp_replace(text, BLANK, " "), F.lit(" ")), F.lit(" "))
     for a, b in SPELLINGS:
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
@@ -164,7 +178,8 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 def op4_sql() -> str:
     form = f"translate(text, '{UPPER}', '{LOWER}')"
-    form = f"regexp_replace({form}, '{COPYRIGHT_LINE}', chr(10), 'g')"
+    for pattern, instead in NOTICES:
+        form = f"regexp_replace({form}, '{pattern}', {'chr(10)' if instead == chr(10) else repr(instead)}, 'g')"
     form = f"trim(regexp_replace({form}, '{BLANK}', ' ', 'g'), ' ') || ' '"
     for a, b in SPELLINGS:
         form = f"replace({form}, '{a}', '{b}')"

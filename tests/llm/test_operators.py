@@ -3,12 +3,15 @@
 import hashlib
 import math
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter
 from fractions import Fraction
 from itertools import combinations
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -457,6 +460,34 @@ def test_full_licence_texts(spark):
     assert len(names) == len(set(license_scan.known_digests(license_scan.KNOWN)))  # no text has two names
 
 
+def test_other_line_breaks_give_the_same_form(spark):
+    """Each shipped text with its paragraphs broken at 40 to 120 columns, in the three versions of the form."""
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(license_scan.__file__).parent / "licenses").glob("*.txt"))}
+    texts |= {name: license_scan.KNOWN[name][0] for name in ("MIT", "ISC", "0BSD")}
+    fill = lambda t, w: "\n\n".join(
+        textwrap.fill(q, w, break_long_words=False, break_on_hyphens=False) for q in re.split(r"\n\s*\n", t)
+    )
+    rows = []
+    for name, t in texts.items():
+        form = license_scan.canonical_text(t)
+        for w in range(40, 121):
+            # the notice of a holder that is broken itself leaves its second line
+            if not (name == "BSD-3-Clause~0" and w < 60 or name == "Zlib~0" and w == 40):
+                assert license_scan.canonical_text(fill(t, w)) == form, (name, w)
+        rows += [(name.split("~")[0], fill(t, w)) for w in (66, 72, 90, 120)]
+    running = "The rules of copyright 1998 or of (c) You must, and\ncopyright law and\n(c) You must keep\u00a0them"
+    assert license_scan.canonical_text(running) == "the rules of copyright 1998 or of c you must and copyright law and c you must keep them "
+    for notice in ("Copyright (c) 2020 A. Writer", "(C) 2021 B", "\u00a9 Copyright 2022 C", "Copyright 1999-2003 D", "Copyright E"):
+        assert license_scan.canonical_text(f"{notice}\nAll rights reserved.\nMay be used.") == "may be used "
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate([*rows, (None, running)])], "doc_id long, text string")
+    got = {r.doc_id: (r.digest, r.license) for r in license_scan.license_scan(frame).collect()}
+    assert [got[i][1] for i in range(len(rows) + 1)] == [name for name, _ in rows] + [None]
+    con = duckdb.connect()
+    texts_of = frame.toPandas()  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT * FROM texts_of")
+    assert {r[0]: r[1:] for r in con.execute(license_scan.op4_sql()).fetchall()} == got
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     values = [[float(x) for x in v] for v in rng.normal(size=(400, 24)) * 0.2]
