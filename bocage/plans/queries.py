@@ -40,10 +40,19 @@ def land_cover(spark, d) -> DataFrame:
     )
 
 
+# Some features of every layer lie far from all others, in a strip of their own: cells without
+# nets, parcels or vegetation, while each row of the tables is a feature that is read and cut.
+NETS_AWAY, PARCELS_AWAY, VEGETATION_AWAY = 20000.0, 40000.0, 60000.0
+
+
+def _x(away: str, by: float):
+    return F.col("x") - F.when(F.expr(away), by).otherwise(0.0)
+
+
 def nets(spark, d) -> DataFrame:
-    x, y = F.col("x"), F.col("y")
+    x, y = _x("FID % 3 = 0", NETS_AWAY), F.col("y")
     kinds = F.array(F.lit("monoparcelle"), F.lit("monorang"), F.lit("non_deploye"), F.lit(None), F.lit("monorang"))
-    return _cells(spark, d).where("FID % 3 <> 0").select(
+    return _cells(spark, d).select(
         "FID", ((F.col("FID") % 7) * 100 + F.col("size")).alias("Code_n3"),
         F.get(F.array(F.lit("oui"), F.lit("non"), F.lit("mixte")), (F.col("size") % 3).cast("int")).alias("filet"),
         F.get(kinds, (F.col("size") % 5).cast("int")).alias("type_filet"),
@@ -52,8 +61,8 @@ def nets(spark, d) -> DataFrame:
 
 
 def parcels(spark, d) -> DataFrame:
-    x, y = F.col("x"), F.col("y")
-    return _cells(spark, d).where("FID % 3 <> 1").select(
+    x, y = _x("FID % 3 = 1", PARCELS_AWAY), F.col("y")
+    return _cells(spark, d).select(
         F.col("FID").alias("id"), g.rectangle(x + 35, y + 5, x + 65 + (F.col("size") % 5) * 15, y + 95).alias("geometry")
     )
 
@@ -84,9 +93,9 @@ def plots(spark, d) -> DataFrame:
 
 
 def vegetation(spark, d) -> DataFrame:
-    x, y = F.col("x"), F.col("y")
+    x, y = _x("size % 4 <> 0", VEGETATION_AWAY), F.col("y")
     kind = F.get(F.array(*[F.lit(k) for k in p.VEGETATION]), (F.col("FID") * 7 % 9).cast("int"))
-    return _cells(spark, d).where("size % 4 = 0").select(
+    return _cells(spark, d).select(
         kind.alias("NATURE"), g.rectangle(x + 20, y, x + 20 + F.col("size"), y + 40).alias("geometry")
     )
 
@@ -229,7 +238,7 @@ def queries() -> dict:
 # --- the same in SQL ------------------------------------------------------------------
 
 # Horizontal edges (w = 1: the polygon lies below) are all that areas of these layers need.
-_LAYERS = """
+_LAYERS = f"""
 h AS (SELECT 100 * (CAST(floor(max(p_partkey) / 50) AS BIGINT) + 1) AS h FROM part),
 cells AS (SELECT p_partkey AS FID, p_size AS size, 100.0::DOUBLE * (p_partkey % 50) AS x,
   100.0::DOUBLE * (p_partkey // 50) AS y, p_partkey % 7 AS c1, (p_partkey % 7) * 100 + p_size AS c3 FROM part),
@@ -239,7 +248,8 @@ rel(shape, a, b, v, w) AS (VALUES (0, 0, 100, 0, -1), (0, 50, 100, 50, 1), (0, 0
 edges AS (SELECT FID, c1, c3, size, x + a AS a, x + b AS b, y + v AS v, w FROM cells JOIN rel ON shape = least(FID % 4, 2)),
 nets AS (SELECT FID, c3, size, CASE size % 3 WHEN 0 THEN 'oui' WHEN 1 THEN 'non' ELSE 'mixte' END AS filet,
   CASE WHEN size % 3 = 1 THEN 'absent' ELSE CASE size % 5 WHEN 0 THEN 'monoparcelle' WHEN 1 THEN 'monorang'
-  WHEN 2 THEN 'non_deploye' WHEN 4 THEN 'monorang' END END AS type_filet FROM cells WHERE FID % 3 <> 0),
+  WHEN 2 THEN 'non_deploye' WHEN 4 THEN 'monorang' END END AS type_filet,
+  x - CASE WHEN FID % 3 = 0 THEN {NETS_AWAY} ELSE 0 END AS nx, x AS cx FROM cells),
 rows_ AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS id_plot, (s_suppkey * 1237) % 5000 + 0.25::DOUBLE AS x,
   (s_suppkey * 2111) % h + 0.25::DOUBLE AS y FROM supplier, h),
 plots AS (SELECT id_plot, x + CASE WHEN k % 3 <> 0 THEN 0 WHEN k % 2 = 0 THEN 10 ELSE 20 END AS x, y FROM rows_),
@@ -275,8 +285,9 @@ comp AS (SELECT id_plot, {r}.0::DOUBLE AS r, round(tot, 3) AS area_tot_buffer, {
   FROM (SELECT id_plot, sum(area) AS tot, {cells} FROM lc GROUP BY id_plot))"""
 
 
-_ORGANIC = """
-org AS (SELECT x + 35 AS x0, y + 5 AS y0, x + 65 + (size % 5) * 15 AS x1, y + 95 AS y1 FROM cells WHERE FID % 3 <> 1),
+_ORGANIC = f"""
+org AS (SELECT x + 35 AS x0, y + 5 AS y0, x + 65 + (size % 5) * 15 AS x1, y + 95 AS y1
+  FROM (SELECT * REPLACE (x - CASE WHEN FID % 3 = 1 THEN {PARCELS_AWAY} ELSE 0 END AS x) FROM cells)),
 cut(shape, a0, b0, a1, b1) AS (VALUES (0, 50, 50, 100, 100), (1, 30, 30, 60, 60)),
 base AS (SELECT FID, c3, size, x, y, FID % 4 AS shape FROM cells WHERE CAST(c3 AS VARCHAR) LIKE '13%'),
 lap AS (SELECT b.FID, sum(greatest(least(x1, x + 100) - greatest(x0, x), 0) * greatest(least(y1, y + 100) - greatest(y0, y), 0)
@@ -306,7 +317,7 @@ def _nets(r: int) -> str:
         f"coalesce(sum(CASE WHEN type_filet {'IS NULL' if k == 'inconnu' else f'= {k!r}'} THEN area END), 0) AS {k}" for k in kinds
     )
     return f"""
-held AS (SELECT e.FID, type_filet, a, b, v, w FROM edges e JOIN nets n ON n.FID = e.FID
+held AS (SELECT e.FID, type_filet, a, b, v, w FROM edges e JOIN nets n ON n.FID = e.FID AND nx = cx
   WHERE CAST(n.c3 AS VARCHAR) LIKE '1%' AND e.FID % 4 <> 1),
 {_clip("na", "held", "type_filet", r)},
 net AS (SELECT id_plot, {r}.0::DOUBLE AS r, round(tot, 3) AS tot_vergers,
@@ -329,7 +340,8 @@ def oracle_sql() -> dict[str, str]:
         return f"WITH {', '.join([_LAYERS, *more])} {select}"
 
     nets_of_bio = _ORGANIC.replace("base AS (SELECT FID, c3, size, x, y, FID % 4 AS shape FROM cells WHERE", """
-base AS (SELECT FID, c3, size, x + 10 AS x, y + 10 AS y, 9 AS shape FROM cells WHERE FID % 3 <> 0 AND""").replace(
+base AS (SELECT FID, c3, size, x + 10 AS x, y + 10 AS y, 9 AS shape
+  FROM (SELECT cells.* REPLACE (nx AS x) FROM cells JOIN nets USING (FID)) WHERE""").replace(
         "x + 100", "x + 80").replace("y + 100", "y + 80").replace("areas USING (FID)", "(SELECT FID, 6400.0::DOUBLE AS aire FROM cells) USING (FID)")
     kinds = [*p.NET_TYPES, "inconnu"]
 
@@ -347,12 +359,13 @@ base AS (SELECT FID, c3, size, x + 10 AS x, y + 10 AS y, 9 AS shape FROM cells W
         )
 
     nominal = f"({p.NOMINAL_DISC} * 500 * 500) * 100"
-    held = """netted AS (SELECT e.FID, a, b, v, w, 1 AS one FROM edges e JOIN nets n ON n.FID = e.FID
+    held = """netted AS (SELECT e.FID, a, b, v, w, 1 AS one FROM edges e JOIN nets n ON n.FID = e.FID AND nx = cx
         WHERE CAST(n.c3 AS VARCHAR) LIKE '1%' AND filet IN ('oui', 'mixte'))"""
     natures = ", ".join(f"({i}, '{c}')" for i, c in enumerate(p.VEGETATION.values()))
     green = f"""kinds(k, nature) AS (VALUES {natures}),
-        veg AS (SELECT nature, x + 20 AS a, x + 20 + size AS b, y + up AS v, w FROM cells JOIN kinds ON k = FID * 7 % 9,
-        (VALUES (0, -1), (40, 1)) t(up, w) WHERE size % 4 = 0)"""
+        veg AS (SELECT nature, x + 20 - away AS a, x + 20 + size - away AS b, y + up AS v, w
+        FROM (SELECT *, CASE WHEN size % 4 = 0 THEN 0 ELSE {VEGETATION_AWAY} END AS away FROM cells) JOIN kinds ON k = FID * 7 % 9,
+        (VALUES (0, -1), (40, 1)) t(up, w))"""
     parts = [f"coalesce(sum(CASE WHEN nature = '{c}' THEN area END), 0) / {nominal}" for c in p.SEMI_NATURAL]
     cross = ", ".join(
         f"count(CASE WHEN type_filet {(c := 'IS NULL' if k == 'inconnu' else f'= {k!r}')} THEN 1 END) AS n_{k}, "
@@ -420,7 +433,8 @@ base AS (SELECT FID, c3, size, x + 10 AS x, y + 10 AS y, 9 AS shape FROM cells W
             ON p.x BETWEEN c.x AND c.x + 100 AND p.y BETWEEN c.y AND c.y + 100 AND NOT (FID % 4 = 0 AND p.x > c.x + 50 AND p.y > c.y + 50)
             AND NOT (FID % 4 = 1 AND p.x > c.x + 30 AND p.x < c.x + 60 AND p.y > c.y + 30 AND p.y < c.y + 60)"""),
         "join_polygons_intersecting": sql("""SELECT n.FID, filet, o.FID AS id FROM nets n JOIN cells c ON c.FID = n.FID
-            LEFT JOIN cells o ON o.FID % 3 <> 1 AND o.x + 35 <= c.x + 90 AND o.x + 65 + (o.size % 5) * 15 >= c.x + 10
+            LEFT JOIN (SELECT * REPLACE (x - CASE WHEN FID % 3 = 1 THEN 40000 ELSE 0 END AS x) FROM cells) o
+            ON o.x + 35 <= nx + 90 AND o.x + 65 + (o.size % 5) * 15 >= nx + 10
             AND o.y + 5 <= c.y + 90 AND o.y + 95 >= c.y + 10"""),
         "count_and_area": sql("SELECT c3 AS Code_n3, count(*) AS poly_n, sum(aire) AS area FROM cells JOIN areas USING (FID) GROUP BY c3"),
         "row_number": sql("SELECT FID, c3 AS Code_n3, row_number() OVER (ORDER BY c3, FID) AS no FROM cells"),

@@ -166,13 +166,14 @@ def oracle_sql() -> dict[str, str]:
     by_net = q._ORGANIC.replace("FROM cells WHERE CAST", "FROM cells WHERE FID % 3 <> 0 AND CAST")
     middle = "CASE FID % 4 WHEN 0 THEN 125.0 / 3 WHEN 1 THEN (500000 - 900 * 45) / 9100.0 ELSE 50 END"
     targets = f"SELECT FID AS id_plot, x + {middle} AS x, y + {middle} AS y FROM cells WHERE FID % 3 <> 0 AND CAST(c3 AS VARCHAR) LIKE '13%'"
-    netted = """netted AS (SELECT e.FID, a, b, v, w, 1 AS one FROM edges e JOIN nets n ON n.FID = e.FID
+    netted = """netted AS (SELECT e.FID, a, b, v, w, 1 AS one FROM edges e JOIN nets n ON n.FID = e.FID AND nx = cx
         WHERE CAST(n.c3 AS VARCHAR) LIKE '1%' AND filet IN ('oui', 'mixte'))"""
     own = "own AS (SELECT e.FID, a, b, v, w, 1 AS one FROM edges e JOIN bio USING (FID))"
     natures = ", ".join(f"({i}, '{c}')" for i, c in enumerate(p.VEGETATION.values()))
     green = f"""kinds(k, nature) AS (VALUES {natures}),
-        veg AS (SELECT nature, x + 20 AS a, x + 20 + size AS b, y + up AS v, w FROM cells JOIN kinds ON k = FID * 7 % 9,
-        (VALUES (0, -1), (40, 1)) t(up, w) WHERE size % 4 = 0)"""
+        veg AS (SELECT nature, x + 20 - away AS a, x + 20 + size - away AS b, y + up AS v, w
+        FROM (SELECT *, CASE WHEN size % 4 = 0 THEN 0 ELSE {q.VEGETATION_AWAY} END AS away FROM cells) JOIN kinds ON k = FID * 7 % 9,
+        (VALUES (0, -1), (40, 1)) t(up, w))"""
     classes = {v: k for k, v in p.LAND_COVER.items()}
     cover = ", ".join(f"coalesce(sum(CASE WHEN c1 = {classes[k]} THEN area END), 0) / sum(area) * 100 AS {v}" for k, v in o.SHARES.items())
     kinds = ", ".join(f"coalesce(sum(CASE WHEN nature = '{c}' THEN area END), 0) / {nominal} AS percent_{c}" for c in p.SEMI_NATURAL)
