@@ -34,6 +34,7 @@ SCALE = 1024
 DROP = 4  # low bits of a component outside the index
 COARSE = 2  # low bits of a query weight outside the index
 BLOCK_ROWS = 16_384
+LEAST_TASKS = 12  # fewer partitions than that are never made of more
 QUERY_ROWS = 2_048
 LARGEST = 1 << 30  # components of the index stay below, and sums of products below its square times 4
 
@@ -280,10 +281,16 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def in_blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """Small partitions put together, so that a block is worth its overhead, but to no fewer than
+    ``rows / BLOCK_ROWS``: the number of tasks grows with the vectors."""
+    return vectors.coalesce(max(LEAST_TASKS, -(-rows // BLOCK_ROWS)))
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
-    vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    # whole blocks: a few thousand vectors make bitmaps worth their overhead
-    return top_k(vectors.where("vec_id % 100 = 0"), vectors.coalesce(12))
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = quantised(table)
+    return top_k(vectors.where("vec_id % 100 = 0"), in_blocks(vectors, table.count()))
 
 
 OP2_SQL = """

@@ -505,6 +505,12 @@ def test_top_k(spark):
     assert topk_search.top_k(vectors.where("false"), vectors).isEmpty()
 
 
+def test_blocks_grow_with_the_vectors(spark):
+    many = spark.range(0, 4000, 1, 40)
+    parts = lambda rows: topk_search.in_blocks(many, rows).rdd.getNumPartitions()
+    assert [parts(n) for n in (0, 4000, 20 * topk_search.BLOCK_ROWS, 30 * topk_search.BLOCK_ROWS + 1, 10**9)] == [12, 12, 20, 31, 40]
+
+
 def test_top_k_with_large_components(spark):
     """Every finite vector counts, whatever its size, as candidate and as query."""
     rng = np.random.default_rng(6)
