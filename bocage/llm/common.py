@@ -38,6 +38,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes that ``df`` has none of them."""
+    taken, before = {c.lower() for c in df.columns}, "_"
+    while any(before + n in taken for n in names):
+        before += "_"
+    return [before + n for n in names]
+
+
 NO_ID = -(1 << 63)  # stands for a null doc_id: before all others
 
 

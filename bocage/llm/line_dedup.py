@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keyed, saved, small
+from .common import components, keyed, saved, small, unused
 
 SHINGLE = 8
 BANDS, ROWS = 10, 4
@@ -414,15 +414,16 @@ def without_removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     gone = removed_lines(rows.dropDuplicates(["doc", "print"]) if shared else rows)
     print_ = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) if shared else F.lit(0).cast("long")
     # print is 0 again for ids that are not shared
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), F.col("gone").alias("_gone"))
+    doc_, of, out, changed = unused(docs, "doc", "print", "gone", "new")
+    gone = gone.select(F.col("doc").alias(doc_), F.col("print").alias(of), F.col("gone").alias(out))
     own = F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63)))
-    match = (own == F.col("_doc")) & ((F.col("_print") == 0) | (F.col("_print") == print_))
-    left = F.filter(F.split(docs[text], "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    new = F.when(F.col("_gone").isNull(), docs[text]).otherwise(F.array_join(left, "\n"))
-    kept = docs.join(gone, match, "left").withColumn("_new", new)
+    match = (own == F.col(doc_)) & ((F.col(of) == 0) | (F.col(of) == print_))
+    left = F.filter(F.split(docs[text], "\n"), lambda x, i: ~F.array_contains(out, i))
+    new = F.when(F.col(out).isNull(), docs[text]).otherwise(F.array_join(left, "\n"))
+    kept = docs.join(gone, match, "left").withColumn(changed, new)
     columns = [
-        F.col("_new").alias(c) if c == text
-        else F.length("_new").cast("long").alias(c) if c == "n_chars"
+        F.col(changed).alias(c) if c == text
+        else F.length(changed).cast("long").alias(c) if c == "n_chars"
         else docs[c]
         for c in docs.columns
     ]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, saved, small
+from .common import components, local_roots, saved, small, unused
 
 PARTS = ((0, 21), (21, 21), (42, 22))  # first bit, width
 CODE_BITS = 15  # length of the Hamming code
@@ -215,9 +215,10 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents whose doc_id names their component, and rows without a doc_id; columns
     as they came.  Rows that share a doc_id stay or go together."""
     groups = near_duplicates(docs, **options)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    marked = docs.join(small(saved(keep, "keep")), docs["doc_id"] == F.col("_kept_id"), "left")
-    return marked.where("_kept_id IS NOT NULL OR doc_id IS NULL").select(*docs.columns)
+    (kept,) = unused(docs, "kept_id")
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    marked = docs.join(small(saved(keep, "keep")), docs["doc_id"] == F.col(kept), "left")
+    return marked.where(F.col(kept).isNotNull() | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

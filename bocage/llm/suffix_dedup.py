@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, keyed, saved
+from .common import NO_ID, keyed, saved, unused
 
 LENGTH = 100
 GRAM = 32
@@ -363,11 +363,12 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     is left of one is dropped.
     """
     rows, shared = keyed(docs, text, doc_id)
+    doc_, of, out, changed = unused(docs, "doc", "print", "runs", "new")
     spans = repeated_spans(
         (rows.dropDuplicates(["doc", "print"]) if shared else rows).select(
             "doc", "print", F.col("text").cast("binary").alias("raw")
         )
-    ).select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), F.col("runs").alias("_runs"))
+    ).select(F.col("doc").alias(doc_), F.col("print").alias(of), F.col("runs").alias(out))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
@@ -376,14 +377,14 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     own = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
     print_ = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
     # print is 0 for ids that rows do not share
-    match = (own == F.col("_doc")) & ((F.col("_print") == 0) | (F.col("_print") == print_))
+    match = (own == F.col(doc_)) & ((F.col(of) == 0) | (F.col(of) == print_))
     marked = docs.join(spans, match, "left")
     # only texts with something to cut go through Python
-    new = F.when(F.col("_runs").isNull(), docs[text]).otherwise(cut(F.coalesce(docs[text], F.lit("")), F.col("_runs")))
-    kept = marked.withColumn("_new", new)
+    new = F.when(F.col(out).isNull(), docs[text]).otherwise(cut(F.coalesce(docs[text], F.lit("")), F.col(out)))
+    kept = marked.withColumn(changed, new)
     columns = [
-        F.col("_new").alias(c) if c == text
-        else F.length("_new").cast("long").alias(c) if c == "n_chars"
+        F.col(changed).alias(c) if c == text
+        else F.length(changed).cast("long").alias(c) if c == "n_chars"
         else docs[c]
         for c in docs.columns
     ]

@@ -573,6 +573,25 @@ def test_sums_over_tasks_are_the_fit():
     assert rows.tolist() == sure.tolist() and (labels == (x[sure, 0] > 0)).all() and len(rows) > 8000
 
 
+def test_stages_take_any_extra_columns(spark, nothing):
+    """Columns named as those that the stages add stay as they came."""
+    rng = random.Random(7)
+    text = _prose(rng, 60)
+    own = ["_doc", "_print", "_gone", "_new", "_runs", "_Kept_id", "__doc", "doc", "print", "lang"]
+    rows = [(1, text, *own), (2, text, *own), (3, None, *own), (4, _prose(rng, 70) + "\n" + text, *own)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *own])
+    want = {
+        line_dedup.without_removed: [text, "", None, rows[3][1].split("\n")[0]],
+        suffix_dedup.without_repeats: None,
+        simhash_dedup.keep_one_of_each: [text, None, rows[3][1]],
+    }
+    for stage, texts in want.items():
+        got = sorted(stage(docs).collect())
+        assert stage(docs).columns == docs.columns and all(list(r[2:]) == own for r in got)
+        assert texts is None or [r.text for r in got] == texts
+        assert stage(nothing).isEmpty()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
