@@ -9,6 +9,7 @@ from ..functions import projection as pr
 from ..operators import stats, tables
 from ..operators.cleaning import clean_layer
 from ..operators.shared import written
+from ..sources.layers import spread
 from . import landscape as p
 from . import orchards as o
 from . import queries as q
@@ -58,7 +59,7 @@ def cleaned(spark, d):
 
 def _points(spark, d):
     """Points of candidates all over the layer, one per customer."""
-    rows = spark.read.parquet(f"{d}/customer.parquet").crossJoin(F.broadcast(q._height(spark, d)))
+    rows = spread(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey")).crossJoin(F.broadcast(q._height(spark, d)))
     return rows.selectExpr(
         "concat('c', c_custkey) AS id_plot", "IF(c_nationkey % 3 = 0, NULL, 'NON') AS filet", "IF(c_custkey % 4 = 0, NULL, 'oui') AS exclu",
         "IF(c_custkey % 5 = 0, 'binome_arrachee', 'ok') AS valide_2022", "(c_custkey * 733) % 5000 + 0.5D AS x", "(c_custkey * 389) % h + 0.5D AS y",

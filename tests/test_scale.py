@@ -1,10 +1,10 @@
-"""Nothing that grows with the tables goes whole through the driver."""
+"""Nothing that grows with the tables goes whole through the driver; rows of a small file are worked on by all tasks."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from bocage.operators import overlay, spatial_join, tables
-from bocage.plans import landscape
+from bocage.plans import landscape, queries
 from bocage.sources import layers
 
 
@@ -42,3 +42,14 @@ def test_shuffled_keeps_the_kind_of_join(spark):
     for how in ("inner", "left", "full", "left_semi", "left_anti"):
         rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
         assert rows(left.join(tables.shuffled(right), "k", how)) == rows(left.join(right, "k", how))
+
+
+def test_rows_of_one_file_are_dealt_over_all_tasks(spark, tmp_path):
+    spark.range(400).selectExpr("id AS p_partkey", "CAST(1 + id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(40).selectExpr("IF(id = 7, NULL, id) AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(90).selectExpr("IF(id < 50, 3L, id) AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    d, parts = str(tmp_path), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows, n in ((queries._cells(spark, d), 400), (queries._plot_rows(spark, d), 40), (queries.hedges(spark, d), 90)):
+        held = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(held) == parts and sum(held) == n and max(held) <= 2 * n / parts
+    assert queries.hedges(spark, d).where("id = 3").count() == 50
