@@ -10,11 +10,14 @@ about as many as the edges, and edges are only compared within a cell of their f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .shared import written
+from .tables import shuffled
 from .tiles import _column_part, _left_to_right, _row_part
 
 PLACE = 0.3819660112501051  # where on an edge its test point lies: rarely where something else touches it
@@ -23,6 +26,11 @@ SMALL = 1e-9  # of a ring's length: a ring that is no wider has no area
 SELF_CROSSING, SELF_TOUCHING, RINGS_CROSS, NO_AREA = "crosses itself", "touches itself", "rings cross", "no area"
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once and not wherever it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _same(a: Column, b: Column) -> Column:
     return (a["x"] == b["x"]) & (a["y"] == b["y"])
 
@@ -38,7 +46,7 @@ def _without_repeats(pts: Column) -> Column:
 
 
 def _closed(pts: Column) -> Column:
-    return F.when(_same(F.element_at(pts, 1), F.element_at(pts, -1)), pts).otherwise(F.concat(pts, F.slice(pts, 1, 1)))
+    return _once(pts, lambda p: F.when(_same(F.element_at(p, 1), F.element_at(p, -1)), p).otherwise(F.concat(p, F.slice(p, 1, 1))))
 
 
 def _has_spike(pts: Column) -> Column:
@@ -54,21 +62,23 @@ def _without_spikes(pts: Column) -> Column:
     The pile begins at a vertex that is no spike's tip.
     """
     n = F.size(pts) - 1
-    open_ = F.slice(pts, F.lit(1), n)
-    before = lambda i: F.get(open_, F.when(i == 0, n - 1).otherwise(i - 1))
-    after = lambda i: F.get(open_, F.when(i == n - 1, F.lit(0)).otherwise(i + 1))
-    firm = F.array_min(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: ~_turns_back(before(i), F.get(open_, i), after(i))))
-    start = F.coalesce(firm, F.lit(0))
-    turned = F.concat(F.slice(open_, start + 1, n - start), F.slice(open_, F.lit(1), start), F.slice(open_, start + 1, F.lit(1)))
+
+    def turned(open_: Column) -> Column:
+        before = lambda i: F.get(open_, F.when(i == 0, n - 1).otherwise(i - 1))
+        after = lambda i: F.get(open_, F.when(i == n - 1, F.lit(0)).otherwise(i + 1))
+        firm = F.array_min(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: ~_turns_back(before(i), F.get(open_, i), after(i))))
+        return _once(F.coalesce(firm, F.lit(0)), lambda start: F.concat(
+            F.slice(open_, start + 1, n - start), F.slice(open_, F.lit(1), start), F.slice(open_, start + 1, F.lit(1))
+        ))
 
     def put(pile: Column, p: Column) -> Column:
         last, second = F.element_at(pile, -1), F.element_at(pile, -2)
         tip = (F.size(pile) >= 2) & _turns_back(second, last, p)
         cut = F.when(tip, F.slice(pile, F.lit(1), F.size(pile) - 1)).otherwise(pile)
-        return F.when(_same(F.element_at(cut, -1), p), cut).otherwise(F.array_append(cut, p))
+        return _once(cut, lambda c: F.when(_same(F.element_at(c, -1), p), c).otherwise(F.array_append(c, p)))
 
-    empty = F.slice(turned, F.lit(1), F.lit(1))
-    return F.aggregate(F.slice(turned, F.lit(2), n), empty, put)
+    way = _once(F.slice(pts, F.lit(1), n), turned)
+    return _once(way, lambda w: F.aggregate(F.slice(w, F.lit(2), n), F.slice(w, F.lit(1), F.lit(1)), put))
 
 
 def tidy_rings(geometry) -> Column:
@@ -109,7 +119,7 @@ def _crossings(edges: DataFrame) -> DataFrame:
     )
     parts = written(parts, "edges")
     other = parts.withColumnsRenamed({c: f"{c}2" for c in ("ring_id", "no", "xa", "ya", "xb", "yb")})
-    near = parts.join(other, ["_row", "i", "j"]).where(
+    near = parts.join(shuffled(other), ["_row", "i", "j"]).where(
         "(ring_id < ring_id2 OR ring_id = ring_id2 AND no < no2) AND xa <= xb2 AND xa2 <= xb"
         " AND least(ya, yb) <= greatest(ya2, yb2) AND least(ya2, yb2) <= greatest(ya, yb)"
     )
@@ -128,7 +138,7 @@ def _crossings(edges: DataFrame) -> DataFrame:
     rule = f"""CASE WHEN a = 0 AND b = 0 AND c = 0 AND d = 0 AND common > 0 THEN if(own, '{SELF_CROSSING}', '{RINGS_CROSS}')
         WHEN a * b < 0 AND c * d < 0 THEN if(own, '{SELF_CROSSING}', '{RINGS_CROSS}')
         WHEN own AND NOT (ends_meet AND (apart = 1 OR apart = last)) THEN '{SELF_TOUCHING}' END"""
-    found = met.where("own OR a * b < 0 AND c * d < 0 OR a = 0 AND b = 0 AND common > 0").join(last, ["_row", "ring_id"])
+    found = met.where("own OR a * b < 0 AND c * d < 0 OR a = 0 AND b = 0 AND common > 0").join(shuffled(last), ["_row", "ring_id"])
     return found.selectExpr("_row", f"{rule} AS reason").where("reason IS NOT NULL").distinct()
 
 
@@ -138,20 +148,20 @@ def _inside(edges: DataFrame) -> DataFrame:
     A point and an edge meet in the band of their feature that holds the point.
     """
     several = edges.groupBy("_row").agg(F.max("ring_id").alias("m")).where("m > 0").select("_row")
-    own = written(edges.join(several, "_row", "left_semi"), "rings")
+    own = written(edges.join(shuffled(several), "_row", "left_semi"), "rings")
     points = own.selectExpr(
         "_row", "ring_id", "no", f"xa + {PLACE}D * (xb - xa) AS x", f"ya + {PLACE}D * (yb - ya) AS y", "c"
     ).selectExpr("*", "floor(y / c) AS band")
     bands = own.where("ya <> yb").selectExpr(
         "_row", "ring_id AS ring_id2", "xa", "ya", "xb", "yb", "down", "explode(sequence(floor(least(ya, yb) / c), floor(greatest(ya, yb) / c))) AS band"
     )
-    hits = points.join(bands, ["_row", "band"]).where(
+    hits = points.join(shuffled(bands), ["_row", "band"]).where(
         "ring_id <> ring_id2 AND least(ya, yb) <= y AND y < greatest(ya, yb) AND xa + (y - ya) / (yb - ya) * (xb - xa) > x"
     )
     inside = hits.groupBy("_row", "ring_id", "ring_id2", "no").agg(F.sum("down").alias("turns")).where("turns <> 0")
     counts = inside.groupBy("_row", "ring_id", "ring_id2").agg(F.count(F.lit(1)).alias("k"))
     sizes = own.groupBy("_row", "ring_id").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(sizes, ["_row", "ring_id"]).selectExpr("_row", "ring_id", "ring_id2", "k / n AS part")
+    return counts.join(shuffled(sizes), ["_row", "ring_id"]).selectExpr("_row", "ring_id", "ring_id2", "k / n AS part")
 
 
 def clean_layer(layer: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,10 +186,10 @@ def clean_layer(layer: DataFrame) -> tuple[DataFrame, DataFrame]:
     depth = nested.where("part = 1").groupBy("_row", "ring_id").agg(F.count(F.lit(1)).cast("int").alias("depth"), F.collect_set("ring_id2").alias("around"))
     around = depth.select("_row", F.col("ring_id").alias("ring_id2"), F.col("depth").alias("depth2"))
     holes = depth.where("depth % 2 = 1").select("_row", "ring_id", "depth", F.explode("around").alias("ring_id2")).join(
-        around, ["_row", "ring_id2"], "left"
+        shuffled(around), ["_row", "ring_id2"], "left"
     ).where("coalesce(depth2, 0) = depth - 1")
     shells = holes.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("ring_id", "ring_id2"))).alias("shell_of"))
-    whole = tidy.join(reasons, "_row", "left_anti").join(shells, "_row", "left")
+    whole = tidy.join(shuffled(reasons), "_row", "left_anti").join(shuffled(shells), "_row", "left")
     marked = F.transform("geometry", lambda r: F.struct(
         F.coalesce(F.col("shell_of")[r["ring_id"]], r["ring_id"]).alias("shell"),
         F.coalesce(F.col("shell_of")[r["ring_id"]].isNotNull(), F.lit(False)).alias("is_hole"),
@@ -188,5 +198,5 @@ def clean_layer(layer: DataFrame) -> tuple[DataFrame, DataFrame]:
     ordered = F.transform(F.array_sort(marked), lambda r, i: F.struct(i.cast("int").alias("ring_id"), r["is_hole"].alias("is_hole"), r["pts"].alias("pts")))
     good = whole.select("_row", ordered.alias("geometry"))
     columns = layer.columns
-    clean = held.drop("geometry").join(good, "_row").select(*columns)
-    return clean, held.join(reasons, "_row").select(*columns, "reasons")
+    clean = held.drop("geometry").join(shuffled(good), "_row").select(*columns)
+    return clean, held.join(shuffled(reasons), "_row").select(*columns, "reasons")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bocage.operators import overlay, spatial_join, tables
+from bocage.operators import cleaning, overlay, spatial_join, tables
 from bocage.plans import landscape, queries
 from bocage.sources import layers
 
@@ -53,3 +53,9 @@ def test_rows_of_one_file_are_dealt_over_all_tasks(spark, tmp_path):
         held = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         assert len(held) == parts and sum(held) == n and max(held) <= 2 * n / parts
     assert queries.hedges(spark, d).where("id = 3").count() == 50
+
+
+def test_rings_are_worked_out_once(spark, cells):
+    """The way around a ring was written into its own steps dozens of times, each of which was worked out again."""
+    plan = cells.select(cleaning.tidy_rings("geometry"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("slice(") <= 50
