@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import textwrap
 import zlib
 from collections import Counter
@@ -293,6 +294,40 @@ def test_dropout_is_dealt_by_occurrence():
     assert len(cuts) > 10
 
 
+def test_agendas_of_many_words_are_worked_off_side_by_side():
+    """Words never seen before take no Python call of their own; long ones and odd characters are cut alike."""
+    codec = piece_codec.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeiorstn") for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    try:
+        got = codec.encode(" ".join(words), 0.2, 3, 9)
+    finally:
+        sys.setprofile(None)
+    assert calls < 2 * len(words) and codec.decode(got) == " ".join(words)
+    texts = [" ".join(words[:300]), "", "é日😀\0 \n\n  ▁x " * 9, "  ", "international" * 8 + " " + "日本" * 80 + "\n", "a"]
+    texts += [" ".join(w * 9 for w in words[:40])]
+    docs = [-5, 0, 3, 1 << 40, 8, 9, 10]
+    for dropout in (0.0, 0.2, 1.0):
+        whole = codec.encode_all(texts, dropout, 3, docs)
+        assert [codec.decode(ids) for ids in whole] == texts
+        assert whole == [codec.encode(t, dropout, 3, d) for t, d in zip(texts, docs)]
+        long, chunk = piece_codec.LONG, piece_codec.CHUNK
+        try:
+            piece_codec.LONG, piece_codec.CHUNK = 0, 1  # every word by its own heap
+            assert codec.encode_all(texts, dropout, 3, docs) == whole
+            piece_codec.LONG = 1 << 10  # none
+            assert codec.encode_all(texts, dropout, 3, docs) == whole
+        finally:
+            piece_codec.LONG, piece_codec.CHUNK = long, chunk
+
+
 def test_token_counts(docs, rows, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     known = token_counts.byte_pieces(path) | {bytes([b]) for b in range(256)}
