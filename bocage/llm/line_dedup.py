@@ -54,6 +54,19 @@ _TOP = np.uint64(1 << 63)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _lenders(j: int) -> list[int]:
+    """All bins in the order in which bin ``j`` would borrow from them."""
+    order: dict[int, None] = {}
+    step = 0
+    while len(order) < BINS:
+        step += 1
+        order.setdefault(xxhash.xxh32_intdigest(bytes([j, step & 255, step >> 8])) % BINS)
+    return list(order)
+
+
+LENDERS = np.array([_lenders(j) for j in range(BINS)])
+
+
 def _mix(a: np.ndarray, b) -> np.ndarray:
     x = a * _M1 + b
     x ^= x >> np.uint64(29)
@@ -92,14 +105,50 @@ def windows(text: str) -> np.ndarray:
     return found
 
 
+def _chunks(lines: list[str]) -> Iterator[list[str]]:
+    """The lines, some ``CHUNK`` characters at a time."""
+    ends = np.cumsum([len(x) for x in lines])
+    at = 0
+    while at < len(lines):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK)))
+        yield lines[at:end]
+        at = end
+
+
+def _all_windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``windows`` of all lines, one line after the other, and how many each has; short ones are filled up."""
+    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]  # so that it has one shingle
+    sizes = np.array([len(x) for x in lines])
+    ends = np.cumsum(sizes)
+    found = windows("".join(lines))
+    inside = np.ones(len(found), dtype=bool)  # shingles that end in their own line
+    for i in range(1, SHINGLE):
+        inside[ends[:-1] - i] = False
+    return found[inside], sizes - SHINGLE + 1
+
+
+def all_shingle_ids(lines: list[str]) -> Iterator[np.ndarray]:
+    """Per line its distinct shingles, sorted; a line shorter than a shingle is its own."""
+    for some in _chunks(lines):
+        found, counts = _all_windows(some)
+        ends = np.cumsum(counts)
+        for line, end, n in zip(some, ends.tolist(), counts.tolist()):
+            if len(line) < SHINGLE:
+                found[end - 1] = np.uint64(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))) | _TOP
+            elif n > 1:
+                found[end - n : end].sort()
+        new = np.ones(len(found), dtype=bool)
+        np.not_equal(found[1:], found[:-1], out=new[1:])
+        new[ends - counts] = True
+        stops = np.cumsum(new)[ends - 1].tolist()
+        found, at = found[new], 0
+        for stop in stops:
+            yield found[at:stop]
+            at = stop
+
+
 def shingle_ids(line: str) -> np.ndarray:
-    """The distinct shingles of a line, sorted; a shorter line is its own."""
-    if len(line) < SHINGLE:
-        whole = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-        return np.array([whole], dtype=np.uint64) | _TOP
-    found = windows(line)
-    found.sort()
-    return found[np.r_[True, found[1:] != found[:-1]]]
+    return next(all_shingle_ids([line]))
 
 
 def shingles(line: str) -> frozenset:
@@ -115,28 +164,19 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """Keys of the bands, one row per line."""
-    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]  # so that it has one shingle
-    ends = np.cumsum([len(x) for x in lines])
-    found = windows("".join(lines))
-    inside = np.ones(len(found), dtype=bool)  # shingles that end in their own line
-    for i in range(1, SHINGLE):
-        inside[ends[:-1] - i] = False
-    counts = np.diff(np.r_[0, ends]) - SHINGLE + 1
-    rank = _mix(found[inside], np.uint64(SEED))
+    found, counts = _all_windows(lines)
+    rank = _mix(found, np.uint64(SEED))
     slot = ((rank >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).view(np.int64)
     slot += np.repeat(np.arange(len(lines)) * BINS, counts)
     none = ~np.uint64(0)
     bins = np.full(len(lines) * BINS, none)
     np.minimum.at(bins, slot, rank)
     bins = bins.reshape(len(lines), BINS)
-    filled = bins.copy()
+    filled, own = bins.copy(), bins != none
     for j in range(BINS):
-        empty, step = np.flatnonzero(bins[:, j] == none), 0
-        while len(empty):
-            step += 1
-            source = xxhash.xxh32_intdigest(bytes([j, step & 255, step >> 8])) % BINS
-            filled[empty, j] = bins[empty, source]
-            empty = empty[filled[empty, j] == none]
+        empty = np.flatnonzero(~own[:, j])
+        if len(empty):
+            filled[empty, j] = bins[empty, LENDERS[j][own[empty][:, LENDERS[j]].argmax(axis=1)]]
     keys = np.zeros((len(lines), BANDS), dtype=np.uint64)
     for band in range(BANDS):
         key = np.full(len(lines), np.uint64(band))
@@ -183,13 +223,7 @@ def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         frame = frame.drop_duplicates("id")
         ids, lines = frame["id"].to_numpy(), frame["line"].tolist()
-        ends = np.cumsum([len(x) for x in lines])
-        keys, at = [], 0
-        while at < len(lines):
-            done = ends[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(ends, done + CHUNK)))
-            keys.append(band_keys(lines[at:end]))
-            at = end
+        keys = [band_keys(some) for some in _chunks(lines)]
         key, line = np.concatenate(keys).ravel(), np.repeat(ids, BANDS)
         order = np.lexsort((line, key))
         key, line = key[order], line[order]
@@ -203,10 +237,12 @@ def _signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Band rows sorted by key -> candidates, and members of crowded keys."""
+    """Band rows sorted by key -> candidates, and members of crowded keys; other rows as they are."""
     held = None  # of the last key: its first lines, and the last ones
     for frame in frames:
-        key, line = frame["a"].to_numpy(), frame["b"].to_numpy()
+        band = frame["kind"].to_numpy() == BAND
+        yield frame[~band]
+        key, line = frame["a"].to_numpy()[band], frame["b"].to_numpy()[band]
         if not len(key):
             continue
         if held is not None and held[0] == key[0]:
@@ -224,9 +260,11 @@ def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs ``a < b`` of line ids that agree in a band, and the members ``key, id`` of
     crowded band values."""
     schema = "a long, b long, kind byte"
-    rows = saved(lines.select("id", "line").mapInPandas(_signed, schema), "bands")
-    bands = rows.where(F.col("kind") == BAND).repartition("a").sortWithinPartitions("a", "b")
-    met = saved(bands.mapInPandas(_met, schema).union(rows.where(F.col("kind") != BAND)), "met")
+    rows = lines.select("id", "line").mapInPandas(_signed, schema)
+    # rows of a band value meet; what is a candidate already is dealt over all tasks
+    second = F.when(F.col("kind") == BAND, F.lit(0).cast("long")).otherwise(F.col("b"))
+    dealt = rows.repartition(F.col("a"), second).sortWithinPartitions("a", "b")
+    met = saved(dealt.mapInPandas(_met, schema), "met")
     pairs = met.where((F.col("kind") == PAIR) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
     members = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
     return pairs, members
@@ -242,8 +280,8 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(BUCKETS, dtype=np.int64)
         for frame in frames:
-            for line in frame["line"]:
-                np.add.at(n, _bucket(shingle_ids(line)), 1)
+            for tokens in all_shingle_ids(frame["line"].tolist()):
+                np.add.at(n, _bucket(tokens), 1)
         bucket = np.flatnonzero(n)
         yield pd.DataFrame({"bucket": bucket, "n": n[bucket]})
 
@@ -279,8 +317,7 @@ def rare_shingles(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         for frame in frames:
             for at in range(0, len(frame), 50):  # shingles of few lines at a time
                 some, held, odd = frame.iloc[at : at + 50], [], []
-                for row, line in enumerate(some["line"]):
-                    tokens = shingle_ids(line)
+                for row, tokens in enumerate(all_shingle_ids(some["line"].tolist())):
                     size = len(tokens)
                     n = counts[_bucket(tokens)]
                     first = np.lexsort((tokens, n))[: size - math.ceil(size * similarity - 1e-9) + 1]
@@ -333,8 +370,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
         own, mine = None, np.zeros(0, dtype=np.uint64)
         for frame in frames:
             keep = []
-            for a, b, line in zip(frame["a"], frame["b"], frame["line"]):
-                other = shingle_ids(line)
+            every = all_shingle_ids(frame["line"].tolist())
+            for a, b, other in zip(frame["a"].tolist(), frame["b"].tolist(), every):
                 if a == b:
                     own, mine = a, other
                     keep.append(False)
@@ -374,7 +411,7 @@ def removed_lines(rows: DataFrame) -> DataFrame:
     pairs = saved(pairs, "candidates")
     wanted = pairs.select("a").union(pairs.select("b")).union(members.select("id")).toDF("id").distinct()
     texts = lines.select("id", "line").join(small(saved(wanted, "candidate-lines")), "id", "left_semi")
-    texts = saved(texts.dropDuplicates(["id"]), "texts")
+    texts = saved(texts.distinct(), "texts")  # the id names the line
     links = saved(verified(pairs, texts), "links")
     roots = components(links, "a", "b").withColumnRenamed("node", "id")
     further = saved(crowded_candidates(texts, members, roots).join(pairs, ["a", "b"], "left_anti"), "further")

@@ -195,6 +195,46 @@ def test_crowded_band_values_lose_no_link(spark):
     assert got == _brute_lines(rows)
 
 
+def test_signatures_of_short_lines_take_few_calls():
+    """A bin that borrows finds its lender at once; shingles of many lines are those of each."""
+    rng = random.Random(2)
+    lines = [_prose(rng, n)[: rng.randrange(1, 90)] for n in (1, 2, 3, 9) for _ in range(50)]
+    lines += ["é" * 20, "a", "日本語 слово и ещё слово", "abcdefgh", "x" * 40]
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    try:
+        got = line_dedup.band_keys(lines)
+    finally:
+        sys.setprofile(None)
+    assert calls < 5000
+    for line, keys in zip(lines, got):
+        bins = {}
+        for h in line_dedup._mix(line_dedup.windows(line.ljust(8, "\0")), np.uint64(line_dedup.SEED)).tolist():
+            slot = (h >> 32) * line_dedup.BINS >> 32
+            bins[slot] = min(h, bins.get(slot, h))
+        for j in range(line_dedup.BINS):
+            at, step = j, 0
+            while at not in bins or (step and at == j):
+                step += 1
+                at = line_dedup.xxhash.xxh32_intdigest(bytes([j, step & 255, step >> 8])) % line_dedup.BINS
+            bins[-1 - j] = bins[at]
+        for band in range(line_dedup.BANDS):
+            key = np.full(1, np.uint64(band))
+            for r in range(line_dedup.ROWS):
+                key = line_dedup._mix(np.array([bins[-1 - band * line_dedup.ROWS - r]], dtype=np.uint64), key)
+            assert key.view(np.int64)[0] == keys[band]
+    for line, ids in zip(lines, line_dedup.all_shingle_ids(lines)):
+        assert ids.tolist() == line_dedup.shingle_ids(line).tolist()
+        if line.isascii() and len(line) >= 8:
+            want = {int.from_bytes(line[k : k + 8].encode(), "little") for k in range(len(line) - 7)}
+            assert ids.tolist() == sorted(want)
+
+
 def test_shingles_of_mixed_lines_meet():
     a = "a long line with one accent at its very end e"
     assert len(line_dedup.shingles(a) & line_dedup.shingles(a[:-1] + "é")) == len(a) - 8
