@@ -14,6 +14,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -455,6 +456,49 @@ def test_word_models_by_brute_force(spark):
     assert {r.row: r.loss for r in quality_rules.losses(words).collect()} == pytest.approx(lost, abs=1e-6)
 
 
+def test_words_are_hashed_side_by_side():
+    """Words, halves and languages of texts as one by one, also in small pieces."""
+    rng = random.Random(1)
+    texts = [None, "", " \n", "a", "héé ☃ 日本"] + [
+        "".join(rng.choice("ab é日\t\n") * rng.choice([1, 1, 1, 5, 17]) for _ in range(rng.randrange(90))) for _ in range(200)
+    ]
+    seeds = [rng.randrange(-(2**63), 2**63) for _ in texts]
+    batch = pa.RecordBatch.from_pydict({"row": [*range(len(texts))], "lang": seeds, "text": texts})
+    want = {i: words for i, (t, v) in enumerate(zip(texts, seeds)) if len(words := quality_rules.word_hashes(t, v))}
+    for of in (quality_rules.blocks_of_texts(batch.slice(0, 90)), quality_rules.blocks_of_texts(batch.slice(90))):
+        for block in of:
+            at = 0
+            for row, n, lang, half in zip(block.row, block.sizes, block.lang, block.half):
+                words = want.pop(row)
+                assert block.words[block.at[at : at + n + 2]].view(np.int64).tolist() == words.tolist()
+                assert (lang, half) == (seeds[row], quality_rules.half_of(words))
+                at += n + 2
+    assert not want
+
+
+def test_every_ngram_is_dealt_once(spark):
+    """Over all slices; words are kept in less than three bytes; a common word has several buckets, one holds no more than its share."""
+    rng = random.Random(2)
+    rare = [f"w{i}" for i in range(3000)]
+    rows = [(i, i % 2, 7, quality_rules.word_hashes(" ".join(rng.choice(rare) if k % 3 else "the" for k in range(400))).tolist()) for i in range(300)]
+    words = spark.createDataFrame(rows, "row long, half int, lang long, words array<long>").repartition(2)
+    blocks = quality_rules.stored(words, quality_rules.blocks_of_words)
+    kept = blocks.selectExpr("sum(length(words) + length(at))").first()[0]
+    assert kept < 3 * 300 * 402
+    common = quality_rules.common_words(blocks, 4)
+    the = quality_rules.word_hashes("the")[2:].view(np.uint64)
+    assert common.buckets[common.words == the] >= 30
+    got, sizes = Counter(), Counter()
+    for i in range(quality_rules.SLICES):
+        frame = quality_rules.parcels(blocks, i, 4, common).toPandas()
+        for bucket, part in frame.groupby("bucket"):
+            g = quality_rules._opened(part)
+            sizes[bucket] += len(g.a)
+            got.update(zip(*(x.view(np.int64).tolist() for x in (g.a, g.b, g.c)), g.row[g.doc].tolist()))
+    assert got == Counter((*ws[k : k + 3], row) for row, _, _, ws in rows for k in range(len(ws) - 2))
+    assert max(sizes.values()) < 3 * 300 * 400 / (4 * quality_rules.SLICES)
+
+
 def test_words_in_senseless_order_and_other_scripts_are_seen(spark):
     """The same words in another order, and in a script beyond ASCII, stand out."""
     rng = random.Random(4)
